@@ -1,9 +1,418 @@
-"""Queries over the driver's tables, each through the library's own operators, and their SQL."""
+"""Queries over the driver's tables, each through the library's own operators, and their SQL.
 
+The tables have none of a catalogue's columns, so each operator runs on an analogue: orders stand for releases, parts and
+documents for titles, events for a log of link checks.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from rollbook.functions import predicates as P
+from rollbook.functions import text as X
+from rollbook.operators import admission, extract, keyed, lifecycle, linkage, merge, queues, rules, views, window
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its name, with its SQL if it has any."""
+
+    def put(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def day_of(date: str = "o_orderdate") -> Column:
+    return F.date_format(date, "yyyy-MM-dd").alias("day")
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+NOW = dt.datetime(2001, 8, 1, tzinfo=dt.timezone.utc)
+TOK = "regexp_extract_all(lower(strip_accents(coalesce({0}, ''))), '[a-z0-9]+')"
+NORM = "array_to_string(" + TOK + ", ' ')"
+
+
+@query(f"select doc_id, {NORM.format('text')} as norm, len({TOK.format('text')}) as n_tokens from documents")
+def tokens_norm(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", X.normalized("text").alias("norm"), F.size(X.tokens("text")).cast("long").alias("n_tokens"))
+
+
+@query("select p_partkey, len(list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+'))) as n_distinct, array_to_string(regexp_extract_all(lower(p_name), '[a-z0-9]+'), '-') as slug from part")
+def part_slugs(spark, sf):
+    return read(spark, sf, "part").select("p_partkey", F.size(F.array_distinct(X.tokens("p_name"))).cast("long").alias("n_distinct"), X.search_slug("p_name").alias("slug"))
+
+
+@query(f"""
+with i as (select item_id, {NORM.format('text')} t from benchmark), c as (select doc_id, source, n_chars, {NORM.format('text')} t from documents),
+acc as (select item_id, doc_id, source, n_chars, c.t stem from i join c on i.t <> '' and contains(c.t, i.t)),
+best as (select * from (select *, row_number() over (partition by item_id, stem order by n_chars, doc_id) r from acc) where r = 1),
+sure as (select * from (select *, count(*) over (partition by item_id) n, min(source) over (partition by item_id) a, max(source) over (partition by item_id) b from best) where n = 1 or a = b)
+select item_id, doc_id from (select *, row_number() over (partition by item_id order by n_chars, doc_id) r from sure) where r = 1""")
+def linkage_verbatim(spark, sf):
+    """Items linked to the one document that contains them, if the sources agree; ranked by length, then id.
+
+    Containment is no equi-join, but what it implies is: the second to fifth token of a contained item stand in the
+    document as they are. So documents give the hashes of their runs of four tokens, items that of one run, and the pairs
+    that meet are checked. Items of under six tokens, whose ends may be parts of longer tokens, are compared directly.
+    """
+    items = read(spark, sf, "benchmark").select("item_id", X.tokens("text").alias("own"))
+    docs = read(spark, sf, "documents").select("doc_id", "source", "n_chars", X.tokens("text").alias("found"))
+    run = lambda a, i, n: F.xxhash64(F.array_join(F.slice(a, i, n), " "))
+    inner = 4  # the first and last token of an item may be parts of longer ones
+    keyed_items = items.where(F.size("own") > 0).withColumn("key", F.when(F.size("own") >= inner + 2, run(F.col("own"), 2, inner)))
+    runs = docs.select("doc_id", F.explode(F.expr(f"case when size(found) >= {inner} then array_distinct(transform(sequence(1, size(found) - {inner - 1}), i -> xxhash64(array_join(slice(found, i, {inner}), ' ')))) else array() end")).alias("key"))
+    met = runs.join(keyed_items.where("key is not null"), "key").select("item_id", "doc_id")
+    short = keyed_items.where("key is null").select("item_id", F.array_join("own", " ").alias("t"))
+    few = docs.join(short, F.contains(F.array_join("found", " "), F.col("t"))).select("item_id", "doc_id")  # items of under six tokens
+    pairs = met.unionAll(few).distinct().join(docs, "doc_id").join(items, "item_id").where(F.contains(F.array_join("found", " "), F.array_join("own", " ")))
+    sides = linkage.Sides(item="item_id", performers=None, duration=None, cand_duration=None, release=None, cand_added=None, cand_views=None, uploader="source", cand_ordinal="doc_id", cand_url="__none")
+    ranked = pairs.withColumn("__none", F.lpad(F.col("n_chars").cast("string"), 12, "0"))
+    return linkage.pick(ranked, sides, F.array_join("found", " ")).select("item_id", "doc_id")
+
+
+@query(f"""
+with d as (select doc_id, source, n_chars, {NORM.format('text')} t from documents),
+acc as (select a.doc_id item, b.doc_id cand, b.source by_source, abs(a.n_chars - b.n_chars) delta, b.t stem from d a join d b on a.doc_id <> b.doc_id and abs(a.n_chars - b.n_chars) <= 2 and left(a.t, 40) = left(b.t, 40)),
+best as (select * from (select *, row_number() over (partition by item, stem order by delta, cand) r from acc) where r = 1),
+sure as (select * from (select *, count(*) over (partition by item) n, min(by_source) over (partition by item) a, max(by_source) over (partition by item) b from best) where n = 1 or a = b)
+select item, cand from (select *, row_number() over (partition by item order by delta, cand) r from sure) where r = 1""")
+def linkage_band(spark, sf):
+    docs = read(spark, sf, "documents").select("doc_id", "source", "n_chars", X.normalized("text").alias("t"))
+    left = docs.select(F.col("doc_id").alias("item"), F.col("n_chars").alias("own_chars"), F.left("t", F.lit(40)).alias("head"))
+    right = docs.select(F.col("doc_id").alias("cand"), "source", "n_chars", F.left("t", F.lit(40)).alias("head"), "t")
+    pairs = linkage.band_join(left, right, "own_chars", "n_chars", 2, on=["head"]).where("item <> cand")
+    sides = linkage.Sides(item="item", duration="own_chars", cand_duration="n_chars", release=None, cand_added=None, cand_views=None, uploader="source", cand_ordinal="cand", cand_url="__none")
+    return linkage.pick(pairs.withColumn("__none", F.lit("")), sides, F.col("t")).select("item", "cand")
+
+
+@query("select a.doc_id as a_id, b.doc_id as b_id, abs(a.n_chars - b.n_chars) as delta from documents a join documents b on a.doc_id < b.doc_id and a.lang = b.lang and abs(a.n_chars - b.n_chars) <= 1")
+def band_pairs(spark, sf):
+    docs = read(spark, sf, "documents")
+    a = docs.select(F.col("doc_id").alias("a_id"), F.col("n_chars").alias("a_chars"), "lang")
+    b = docs.select(F.col("doc_id").alias("b_id"), F.col("n_chars").alias("b_chars"), "lang")
+    return linkage.band_join(a, b, "a_chars", "b_chars", 1, on=["lang"]).where("a_id < b_id").select("a_id", "b_id", F.abs(F.col("a_chars") - F.col("b_chars")).alias("delta"))
+
+
+WORDS = "regexp_extract_all(lower(strip_accents(regexp_replace({0}, '([a-z])([A-Z])', '\\1 \\2', 'g'))), '[a-z0-9]+')"
+STOP = "list_filter({0}, lambda x: not list_contains(['a','an','and','at','by','for','in','into','of','on','the','to','with'], x))"
+
+
+@query(f"""
+with h as (select doc_id, lang, source, n_chars, text, left({NORM.format('text')}, 30) head from documents),
+p as (select a.doc_id a_id, b.doc_id b_id, list_distinct({STOP.format(WORDS.format('a.text'))}) l, {WORDS.format('b.text')} r from h a join h b on a.head = b.head and a.doc_id < b.doc_id and abs(a.n_chars - b.n_chars) <= 60)
+select a_id, b_id, case when len(l) >= 4 and len(list_intersect(l, r)) >= 4 then round(len(list_intersect(l, r)) / len(l), 9) else 0.0 end as score from p""")
+def title_score(spark, sf):
+    docs = read(spark, sf, "documents").select("doc_id", "n_chars", "text", F.left(X.normalized("text"), F.lit(30)).alias("head"))
+    a = docs.select(F.col("doc_id").alias("a_id"), F.col("n_chars").alias("a_n"), F.col("text").alias("a_text"), "head")
+    b = docs.select(F.col("doc_id").alias("b_id"), F.col("n_chars").alias("b_n"), F.col("text").alias("b_text"), "head")
+    return linkage.band_join(a, b, "a_n", "b_n", 60, on=["head"]).where("a_id < b_id").select("a_id", "b_id", F.round(X.title_score("a_text", "b_text"), 9).alias("score"))
+
+
+@query("select o_orderkey, o_custkey, strftime(o_orderdate, '%Y-%m-%d') as day from orders where o_orderdate between timestamp '2001-08-01' - interval 90 day and timestamp '2001-08-01'")
+def rolling_window(spark, sf):
+    return window.rolling_window(read(spark, sf, "orders"), "o_orderdate", NOW).select("o_orderkey", "o_custkey", day_of())
+
+
+@query("""
+with o as (select o_custkey g, o_orderkey k, o_orderdate d from orders), p as (select distinct o_custkey g from orders where o_orderstatus = 'F' and o_orderdate < timestamp '2001-01-01'),
+a as (select g, count(*) filter (where d between timestamp '2001-08-01' - interval 90 day and timestamp '2001-08-01') release_count, count(*) total_seen, strftime(max(d), '%Y-%m-%d') latest, max(d) l from o group by g)
+select a.g as grp, release_count, total_seen, latest, release_count >= 3 as active, release_count >= 3 or p.g is not null as admitted, not (release_count >= 3) and p.g is not null and l < timestamp '2001-08-01' - interval 180 day as dormant from a left join p on a.g = p.g""")
+def group_admission(spark, sf):
+    orders = read(spark, sf, "orders")
+    rows = orders.select(F.col("o_custkey").alias("grp"), F.col("o_orderkey").alias("release"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("day"))
+    prior = orders.where("o_orderstatus = 'F' and o_orderdate < timestamp '2001-01-01'").select(F.col("o_custkey").alias("grp"))
+    return admission.admit_groups(rows, NOW, "grp", "release", "day", ["day"], prior).select("grp", "release_count", "total_seen", F.left("latest_release", F.lit(10)).alias("latest"), "active", "admitted", "dormant")
+
+
+@query("select l_suppkey as grp, count(*) as n, round(avg(case when l_returnflag = 'R' then 1.0 else 0.0 end), 9) as share_r, case when count(*) >= 3 and avg(case when l_returnflag = 'R' then 1.0 else 0.0 end) > 0.34 then 'r' else '' end as barred_by from lineitem group by l_suppkey")
+def group_share(spark, sf):
+    made = admission.group_shares(read(spark, sf, "lineitem"), "l_suppkey", {"r": ("R",)}, title="l_returnflag", threshold=0.34)
+    return made.select(F.col("l_suppkey").alias("grp"), F.col("rows").alias("n"), F.round("share_r", 9).alias("share_r"), F.coalesce("barred_by", F.lit("")).alias("barred_by"))
+
+
+TABLE = rules.RuleTable(
+    (
+        rules.Rule("screened", "exclude", ("large",), ("title", "tags")),
+        rules.Rule("metal", "exclude", ("copper", "steel"), ("title", "tags"), unless=("red",)),
+        rules.Rule("no-colour", "pending", ("red", "blue", "green", "small"), absent=True),
+        rules.Rule("strong", "keep", ("red", "blue"), match="word"),
+    ),
+    default_verdict="secondary",
+    screen="screened",
+)
+CASE = """case when contains(t, 'large') or contains(g, 'large') then 'screened'
+ when (contains(t, 'copper') or contains(g, 'copper') or contains(t, 'steel') or contains(g, 'steel')) and not (contains(t, 'red') or contains(g, 'red')) then 'metal'
+ when not (contains(t, 'red') or contains(t, 'blue') or contains(t, 'green') or contains(t, 'small')) then 'no-colour'
+ when regexp_matches(t, '(^|[^a-z0-9])(red|blue)([^a-z0-9]|$)') then 'strong' else 'none' end"""
+VERDICT = "case reason when 'screened' then 'exclude' when 'metal' then 'exclude' when 'no-colour' then 'pending' when 'strong' then 'keep' else 'secondary' end"
+
+
+def classified(spark, sf):
+    parts = read(spark, sf, "part").select("p_partkey", F.col("p_name").alias("title"), F.array("p_type").alias("tags"))
+    return rules.classify(parts, TABLE)
+
+
+@query(f"select p_partkey, reason, {VERDICT} as verdict from (select p_partkey, {CASE} as reason from (select p_partkey, lower(p_name) t, lower(p_type) g from part))")
+def rule_classify(spark, sf):
+    return classified(spark, sf).select("p_partkey", F.coalesce("reason", F.lit("none")).alias("reason"), "verdict")
+
+
+@query(f"with c as (select reason, {VERDICT} as bucket from (select {CASE} as reason from (select lower(p_name) t, lower(p_type) g from part))) select coalesce(bucket, 'all') as bucket, coalesce(reason, 'all') as reason, count(*) as n from c group by rollup (bucket, reason)")
+def rule_ledger(spark, sf):
+    rows = classified(spark, sf).withColumn("reason", F.coalesce("reason", F.lit("none")))
+    return rules.ledger(rows, "verdict", "reason").select(F.coalesce("verdict", F.lit("all")).alias("bucket"), F.coalesce("reason", F.lit("all")).alias("reason"), "n")
+
+
+@query("select p_partkey, lower(p_name) as p_name from part where not contains(lower(p_name), 'large') and not contains(lower(p_type), 'large')")
+def safety_screen(spark, sf):
+    parts = read(spark, sf, "part").select("p_partkey", F.lower("p_name").alias("p_name"), F.col("p_name").alias("title"), F.array("p_type").alias("tags"))
+    return rules.screened(parts, TABLE.rules[0]).select("p_partkey", "p_name")
+
+
+@query("""
+with s as (select l_suppkey % 7 as seller, * from lineitem), sh as (select seller, count(*) n, avg(case when contains(l_returnflag, 'R') then 1.0 else 0.0 end) a from s group by seller),
+i as (select o_orderkey id, o_custkey % 7 as grp, o_orderpriority title from orders),
+d as (select l_orderkey id, l_returnflag flag, l_linestatus st, l_quantity q from (select *, row_number() over (partition by l_orderkey order by l_linenumber desc, l_partkey desc, l_suppkey desc, l_extendedprice desc) r from lineitem) where r = 1)
+select bucket, reason, count(*) as n from (
+select case when contains(title, 'URGENT') then 'excluded' when sh.n >= 3 and sh.a > 0.3335 then 'excluded' when contains(title, 'LOW') then 'excluded'
+ when d.id is not null and q > 45 then 'removed' when d.id is not null and contains(lower(flag), 'r') then 'excluded' when d.id is null then 'undecided' when st = 'O' then 'excluded' when st = 'F' then 'kept' else 'excluded' end as bucket,
+ case when contains(title, 'URGENT') then 'screen' when sh.n >= 3 and sh.a > 0.3335 then 'r-group' when contains(title, 'LOW') then 'low' when d.id is not null and q > 45 then 'removed' when d.id is not null and contains(lower(flag), 'r') then 'detail-tags' when d.id is null then 'none' when st = 'O' then 'barred' when st = 'F' then 'none' else 'badge-unrecognised' end as reason
+from i left join sh on i.grp = sh.seller left join d on i.id = d.id) group by bucket, reason""")
+def admission_pipeline(spark, sf):
+    lines, orders = read(spark, sf, "lineitem"), read(spark, sf, "orders")
+    items = orders.select(F.col("o_orderkey").alias("item_id"), (F.col("o_custkey") % 7).alias("group"), F.col("o_orderpriority").alias("title"))
+    details = lines.select(F.col("l_orderkey").alias("item_id"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("ord"), F.array("l_returnflag").alias("tags"), (F.col("l_quantity") > 45).alias("removed"), F.col("l_linestatus").alias("badge"))
+    shares = admission.group_shares(lines.select((F.col("l_suppkey") % 7).alias("group"), F.col("l_returnflag").alias("title")), "group", {"r": ("R",)}, threshold=0.3335)
+    content = rules.RuleTable((rules.Rule("screen", "exclude", ("urgent",), ("title", "tags")), rules.Rule("low", "exclude", ("low",))), screen="screen")
+    out = admission.run_admission(items, details, shares, content, ("r",), badge_no="F", badge_yes="O", screen_reason="screen")
+    return out.groupBy("bucket", F.coalesce("reason", F.lit("none")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("""
+with r as (select l_orderkey, l_partkey, l_returnflag, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate) n from lineitem)
+select l_orderkey, arg_min(l_partkey, f) as l_partkey, string_agg(l_returnflag, ',' order by f) as tags from (select l_orderkey, l_returnflag, min(n) f, arg_min(l_partkey, n) l_partkey from r group by l_orderkey, l_returnflag) group by l_orderkey""")
+def keyed_union_tags(spark, sf):
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate"]
+    rows = read(spark, sf, "lineitem").select("l_orderkey", *order, "l_returnflag")
+    made = keyed.first_per_key_with_tags(rows, "l_orderkey", order, "l_returnflag", "tags")
+    return made.select("l_orderkey", "l_partkey", F.array_join("tags", ",").alias("tags"))
+
+
+@query("select l_partkey, l_orderkey, l_quantity from (select *, row_number() over (partition by l_partkey order by l_orderkey desc, l_linenumber desc, l_quantity desc) r from lineitem) where r = 1")
+def keyed_union_last(spark, sf):
+    rows = read(spark, sf, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_quantity")
+    return keyed.last_per_key(rows, "l_partkey", ["l_orderkey", "l_linenumber", "l_quantity"]).drop("l_linenumber")
+
+
+@query("select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as day from orders order by o_orderdate asc nulls first, o_orderkey limit 25")
+def stalest_topk(spark, sf):
+    return lifecycle.stalest(read(spark, sf, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", ["o_orderkey"]).select("o_orderkey", day_of())
+
+
+@query("select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as day, o_orderstatus = 'P' as is_pending from orders where o_orderstatus <> 'F' order by o_orderstatus = 'P', o_orderdate desc, o_orderkey limit 60")
+def budget_queue(spark, sf):
+    orders = read(spark, sf, "orders")
+    known, pending = orders.where("o_orderstatus = 'F'"), orders.where("o_orderstatus = 'P'")
+    return queues.budget_queue(orders.select("o_orderkey", "o_orderdate"), known, pending, "o_orderkey", "o_orderdate", 60, ["o_orderkey"]).select("o_orderkey", day_of(), "is_pending")
+
+
+@query("""
+with n as (select o_orderkey k, o_custkey c, o_orderstatus s, o_orderdate d, case when o_orderkey % 5 = 0 then o_orderkey + 1000000 else o_orderkey end id, o_orderkey u from orders), p as (select o_orderkey id, o_orderkey u, case when o_orderkey % 3 = 0 then o_custkey + 1 else o_custkey end c, o_orderdate d, case when o_orderkey % 2 = 0 then o_orderdate end checked from orders where o_orderdate < timestamp '2001-07-01')
+select n.id, coalesce(a.id, b.id, -1) as prior_id, case when a.id is not null then n.c = a.c else coalesce(n.c = b.c, false) end as same, coalesce(n.d < timestamp '2001-07-18', false) as too_old from n left join p a on n.id = a.id left join p b on n.u = b.u""")
+def state_merge(spark, sf):
+    orders = read(spark, sf, "orders")
+    fresh = orders.select(F.when(F.col("o_orderkey") % 5 == 0, F.col("o_orderkey") + 1_000_000).otherwise(F.col("o_orderkey")).alias("id"), F.col("o_orderkey").alias("release_url"), F.col("o_custkey").alias("c"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("release_date"))
+    prior = orders.where("o_orderdate < timestamp '2001-07-01'").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("release_url"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")).alias("c"), F.col("o_orderkey").alias("ordinal"))
+    joined = merge.with_prior(fresh, prior)
+    old = merge.is_throttled(F.col("release_date"), F.lit(None).cast("string"), NOW)
+    return joined.select("id", F.coalesce("prior.id", F.lit(-1)).alias("prior_id"), F.coalesce(F.col("c") == F.col("prior.c"), F.lit(False)).alias("same"), old.alias("too_old"))
+
+
+@query("""
+with e as (select user_id, event_id, ts, case event_type when 'view' then 'live' when 'error' then 'dead' end s from events), k as (select * from e where s is not null),
+i as (select *, sum(case when s = 'live' then 1 else 0 end) over (partition by user_id order by ts, event_id) island from k), g as (select user_id, island, count(*) filter (where s = 'dead') f, count(*) n from i group by user_id, island)
+select user_id, cast(arg_max(f % 2, island) as integer) as strikes, cast(sum(f // 2) as bigint) as deaths, cast(sum(n) as bigint) as outcomes from g group by user_id""")
+def strike_fold(spark, sf):
+    status = F.when(F.col("event_type") == "view", "live").when(F.col("event_type") == "error", "dead")
+    return lifecycle.strike_fold(read(spark, sf, "events"), "user_id", ["ts", "event_id"], status)
+
+
+@query("""
+with c as (select c_nationkey k, count(*) n, count(*) filter (where c_acctbal > 0) l from customer group by c_nationkey)
+select n_nationkey as label_id, case when n_nationkey % 3 = 0 then 'ok' when n_nationkey % 3 = 1 then 'config' else 'failing' end as state, coalesce(n, 0) as item_count, coalesce(l, 0) as live_count, cast(case when n > 0 then floor(100 * l / n + 0.5) else -1 end as integer) as match_percent from nation left join c on n_nationkey = k""")
+def source_health(spark, sf):
+    k = F.col("n_nationkey")
+    status = read(spark, sf, "nation").select(k.alias("label_id"), F.when(k % 3 == 0, F.lit(None)).when(k % 3 == 1, F.lit("missing api key")).otherwise(F.lit("HTTP 502")).cast("string").alias("error"), F.lit(None).cast("string").alias("last_refresh"))
+    items = read(spark, sf, "customer").withColumnRenamed("c_nationkey", "label_id")
+    return views.source_health(status, items, F.col("c_acctbal") > 0).drop("last_refresh").withColumn("match_percent", F.coalesce("match_percent", F.lit(-1)))
+
+
+@query("""
+with c as (select cast(count(*) filter (where n_nationkey % 3 = 2) as integer) failing, cast(count(*) filter (where n_nationkey % 3 = 1) as integer) config from nation)
+select failing, config, concat_ws(', ', case when failing > 0 then failing || ' failing' end, case when config > 0 then config || ' not configured' end) as line from c""")
+def health_summary(spark, sf):
+    made = views.health_summary(source_health(spark, sf))
+    return made.select(F.col("failing").cast("int").alias("failing"), F.col("config").cast("int").alias("config"), "line")
+
+
+@query("select strftime(o_orderdate, '%Y-%m') as month, count(*) as n from orders group by 1")
+def month_counts(spark, sf):
+    return views.month_counts(read(spark, sf, "orders"), "o_orderdate").select(F.date_format("month", "yyyy-MM").alias("month"), "n")
+
+
+@query("select n_name, count(c_custkey) as n from nation left join customer on n_nationkey = c_nationkey group by n_name")
+def label_counts(spark, sf):
+    labels = read(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), "n_name")
+    return views.label_counts(labels, read(spark, sf, "customer").withColumnRenamed("c_nationkey", "k"), "k").select("n_name", "n")
+
+
+@query("select c_mktsegment as label_id, arg_min(c_name, c_custkey) as label from customer group by c_mktsegment")
+def label_status(spark, sf):
+    return views.label_status(read(spark, sf, "customer"), "c_mktsegment", "c_name", "c_custkey").select(F.col("c_mktsegment").alias("label_id"), F.col("c_name").alias("label"))
+
+
+@query("select p_partkey, p_name, p_brand from part where contains(lower(concat_ws(' ', p_name, p_brand, p_type)), 'er#1') or contains(lower(concat_ws(' ', p_name, p_brand, p_type)), '#1')")
+def watchlist_search(spark, sf):
+    return views.watchlist(read(spark, sf, "part"), q="#1", sort="title", fields=("p_name", "p_brand", "p_type"), title="p_name", ties=("p_partkey",)).select("p_partkey", "p_name", "p_brand")
+
+
+@query("select event_id, try_cast(json_extract_string(props, '$.k') as integer) as k, coalesce(json_extract_string(props, '$.absent'), '') as absent from events")
+def json_props(spark, sf):
+    made = extract.json_props(read(spark, sf, "events"), "props", {"k": "int", "absent": "string"})
+    return made.select("event_id", "k", F.coalesce("absent", F.lit("")).alias("absent"))
+
+
+LINK = """'(?i)<a\\b[^>]*?href=["'']([^"'']*)["'']'"""
+
+
+@query(f"select page_id, len(regexp_extract_all(html, {LINK}, 1)) as n_links, coalesce(regexp_extract_all(html, {LINK}, 1)[1], '') as first_link from pages")
+def html_links(spark, sf):
+    pages = read(spark, sf, "pages").withColumn("links", extract.html_links("html"))
+    return pages.select("page_id", F.size("links").cast("long").alias("n_links"), F.coalesce(F.get("links", F.lit(0)), F.lit("")).alias("first_link"))
+
+
+@query("""select page_id, trim(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&amp;', '&')) as title, len(regexp_extract_all(html, '(?is)<meta\\b[^>]*>')) as n_meta, lower(regexp_extract(html, '(?i)<meta[^>]*charset=["'']?([A-Za-z0-9-]+)', 1)) as charset from pages""")
+def html_meta(spark, sf):
+    tags = extract.meta_tags("html")
+    return read(spark, sf, "pages").select("page_id", extract.page_title("html").alias("title"), F.size(tags).cast("long").alias("n_meta"), F.lower(F.coalesce(F.try_element_at(F.get(tags, F.lit(0)), F.lit("charset")), F.lit(""))).alias("charset"))
+
+
+@query("select page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '&amp;', '&', 'gi'), '&#(39|x27);', '''', 'gi'), '&quot;', '\"', 'gi')) as clean from pages")
+def entity_decode(spark, sf):
+    return read(spark, sf, "pages").select("page_id", X.clean_text("html").alias("clean"))
+
+
+@query()
+def numeric_entities(spark, sf):
+    return read(spark, sf, "pages").select("page_id", X.decode_numeric_entities("html").alias("decoded"))
+
+
+@query()
+def linked_data(spark, sf):
+    return extract.extract_metadata(read(spark, sf, "pages")).select("page_id", "duration_sec", "release_date", "performers")
+
+
+GLOSSARY = [("red", "rouge"), ("redwood", "sequoia"), ("small", "petit"), ("blue", "bleu")]
+REWRITE = "lower(p_name)"
+for _term, _to in sorted(GLOSSARY, key=lambda t: (-len(t[0]), t[0])):
+    REWRITE = f"replace({REWRITE}, '{_term}', ' {_to} ')"
+
+
+@query(f"select p_partkey, trim(regexp_replace({REWRITE}, '\\s+', ' ', 'g')) as title from part")
+def glossary_rewrite(spark, sf):
+    return read(spark, sf, "part").select("p_partkey", X.apply_glossary(F.lower("p_name"), GLOSSARY)["text"].alias("title"))
+
+
+@query("""
+with s as (select l_orderkey o, l_linenumber n, cast(l_quantity as bigint) q, l_linenumber m from lineitem)
+select o, n, cast(case n % 4 when 0 then q * 60 + m when 1 then q * 3600 + m * 60 when 2 then m * 3600 + q else m * 3600 + q * 60 end as integer) as seconds from s""")
+def duration_parse(spark, sf):
+    q, m = F.col("l_quantity").cast("long").cast("string"), F.col("l_linenumber").cast("string")
+    k = F.col("l_linenumber") % 4
+    text = F.when(k == 0, F.concat(F.lit("PT"), q, F.lit("M"), m, F.lit("S"))).when(k == 1, F.concat(q, F.lit(":"), F.lpad(m, 2, "0"), F.lit(":00"))).when(k == 2, F.concat(m, F.lit(" hrs "), q, F.lit(" seconds"))).otherwise(F.concat(m, F.lit("h "), q, F.lit(" min")))
+    return read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), X.parse_duration(text).alias("seconds"))
+
+
+@query("select c_custkey from customer where c_custkey in (select o_custkey from orders where o_orderstatus = 'O')")
+def semi_known(spark, sf):
+    known = read(spark, sf, "orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("c_custkey"))
+    return read(spark, sf, "customer").join(known, "c_custkey", "left_semi").select("c_custkey")
+
+
+@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'O')")
+def anti_known(spark, sf):
+    known = read(spark, sf, "orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("c_custkey"))
+    return keyed.unknown(read(spark, sf, "customer"), known, "c_custkey").select("c_custkey")
+
+
+@query("""
+with r as (select o_orderkey id, o_custkey alt, o_totalprice v from orders), a as (select id, arg_max(v, id) v from r group by id), b as (select alt, arg_max(v, id) v from r group by alt)
+select c_custkey, coalesce(a.v, b.v, -1) as v from customer left join a on c_custkey * 3 = a.id left join b on c_custkey = b.alt""")
+def fallback_key_join(spark, sf):
+    left = read(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") * 3).alias("id"), F.col("c_custkey").alias("alt"))
+    right = read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("alt"), F.col("o_totalprice").alias("price"), F.col("o_orderkey").alias("ord"))
+    return keyed.lookup_with_fallback(left, right, ["id", "alt"], ["ord"], F.col("price"), "v").select("c_custkey", F.coalesce("v", F.lit(-1.0)).alias("v"))
+
+
+@query("select page_id, regexp_matches(url, '^https://[^/?#:@]+/') as plain_https, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) as host from pages")
+def url_checks(spark, sf):
+    host = F.lower(F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit("")))
+    return read(spark, sf, "pages").select("page_id", F.col("url").rlike("^https://[^/?#:@]+/").alias("plain_https"), host.alias("host"))
+
+
+@query("select p_brand, p_partkey, p_retailprice from (select *, row_number() over (partition by p_brand order by p_retailprice desc, p_partkey) r from part) where r <= 2")
+def top_per_group(spark, sf):
+    return queues.top_per_group(read(spark, sf, "part").select("p_brand", "p_partkey", "p_retailprice"), "p_brand", [F.desc("p_retailprice"), F.col("p_partkey")], 2)
+
+
+@query("select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as day, row_number() over (order by o_orderdate desc, o_orderkey) as place from orders where o_orderdate >= timestamp '2001-07-25'")
+def catalogue_order(spark, sf):
+    recent = read(spark, sf, "orders").where("o_orderdate >= timestamp '2001-07-25'").select("o_orderkey", "o_orderdate")
+    order = Window.orderBy(F.col("o_orderdate").desc(), "o_orderkey")
+    return queues.catalogue_order(recent, "o_orderdate", ["o_orderkey"]).withColumn("place", F.row_number().over(order).cast("long")).select("o_orderkey", day_of(), "place")
+
+
+@query("select * from (select c_custkey as k, 'customer' as lane, c_name as name from customer union all select s_suppkey, 'supplier', s_name from supplier)")
+def source_fan_in(spark, sf):
+    a = read(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.lit("customer").alias("lane"), F.col("c_name").alias("name"))
+    b = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), F.lit("supplier").alias("lane"), F.col("s_name").alias("name"))
+    return keyed.replace_lane(keyed.fan_in([a, b]), "supplier", "lane", b)
+
+
+@query("select event_id, case event_type when 'view' then 'live' when 'error' then 'dead' else 'inconclusive' end as status from events")
+def probe_status(spark, sf):
+    code = F.when(F.col("event_type") == "view", 200).when(F.col("event_type") == "error", 404).otherwise(503)
+    return read(spark, sf, "events").select("event_id", lifecycle.probe_status(code).alias("status"))
+
+
+@query("select o_orderkey, case o_orderstatus when 'F' then 'clear' when 'O' then 'barred' when 'P' then 'unrecognised' end as badge from orders")
+def badge_states(spark, sf):
+    return read(spark, sf, "orders").select("o_orderkey", P.badge_state("o_orderstatus", "F", "O").alias("badge"))
+
+
+@query("select doc_id, regexp_matches(text, '[\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{3040}-\\x{30FF}]') as cjk, strftime(timestamp '2001-08-01' + to_days(cast(doc_id % 400 as integer)), '%B %Y') as month from documents")
+def cjk_and_month(spark, sf):
+    day = F.date_add(F.lit(dt.date(2001, 8, 1)), (F.col("doc_id") % 400).cast("int"))
+    return read(spark, sf, "documents").select("doc_id", X.has_cjk("text").alias("cjk"), X.month_label(day).alias("month"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
