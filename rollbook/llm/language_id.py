@@ -152,7 +152,7 @@ def document_scores(net: Network, texts: list[bytes]) -> np.ndarray:
     parts = [windows(t) for t in texts]
     owner = np.repeat(np.arange(len(texts)), [len(p) for p in parts])
     total, letters = np.zeros((len(texts), len(net.languages))), np.zeros(len(texts))
-    if not len(owner):
+    if not len(owner) or not net.languages:
         return total
     rows = np.concatenate(parts)
     for a in range(0, len(rows), LANES):

@@ -136,26 +136,71 @@ def linked(groups: DataFrame, by: list[str], radius: int) -> DataFrame:
     return groups.groupBy(*by).applyInArrow(run, "a long, b long")
 
 
+def scanned(batches: Iterator[pa.RecordBatch], radius: int, direct: int) -> Iterator[pa.RecordBatch]:
+    """Verified links of (variant, fp) rows that come sorted; the rows of a variant of over direct fingerprints as they are.
+
+    A link has no variant, a row handed on has no b. What is held is one batch and direct rows at most.
+    """
+
+    def batch_of(variant: list, a: list, b: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (variant, a, b)], names=["variant", "a", "b"])
+
+    held = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    passing = None  # a variant that is over the limit
+    for batch in chained(batches):
+        new = held if batch is None else tuple(np.concatenate((h, batch.column(i).to_numpy(zero_copy_only=False))) for i, h in enumerate(held))
+        v, f = new
+        if passing is not None:
+            n = int(np.searchsorted(v, passing, "right"))
+            if n:
+                yield batch_of(v[:n], f[:n], [None] * n)
+                v, f = v[n:], f[n:]
+            if len(v):
+                passing = None
+        cut = len(v) if batch is None or not len(v) else int(np.searchsorted(v, v[-1], "left"))
+        held = (v[cut:], f[cut:])
+        if len(held[0]) > direct:
+            passing = int(v[-1])
+            yield batch_of(held[0], held[1], [None] * len(held[0]))
+            held = (v[:0], f[:0])
+        v, f = v[:cut], f[:cut]
+        starts = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1]))) if len(v) else np.zeros(0, np.int64)
+        sizes = np.diff(np.concatenate((starts, [len(v)])))
+        two = starts[sizes == 2]
+        close = two[np.bitwise_count((f[two] ^ f[two + 1]).view(np.uint64)) <= radius] if len(two) else two
+        a, b = f[close].tolist(), f[close + 1].tolist()
+        for k in np.flatnonzero((sizes > 2) & (sizes <= direct)):
+            for x, y in forest(f[starts[k] : starts[k] + sizes[k]], radius):
+                a.append(x)
+                b.append(y)
+        if a:
+            yield batch_of([None] * len(a), a, b)
+        for k in np.flatnonzero(sizes > direct):
+            part = slice(starts[k], starts[k] + sizes[k])
+            yield batch_of(v[part], f[part], [None] * int(sizes[k]))
+
+
+def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    """The batches, and None for the end."""
+    yield from batches
+    yield None
+
+
 def links(fps: DataFrame, radius: int = RADIUS, direct: int = DIRECT) -> DataFrame:
     """Links (a, b) between distinct fingerprints that differ in at most radius (at most 4) bits.
 
-    The links connect the same fingerprints as all such pairs do. A variant of one or two fingerprints needs only its
-    count, least and greatest. One of up to direct is compared within; beyond, it is split by the other half's variants
-    within 2 bits, and then a group has at most 33 x 529 distinct fingerprints.
+    The links connect the same fingerprints as all such pairs do. Variants are shuffled once and scanned in order. One
+    of up to direct fingerprints is compared within; beyond, it is split by the other half's variants within 2 bits,
+    and then a group has at most 33 x 529 distinct fingerprints.
     """
     if not 0 <= radius <= 4:
         raise ValueError("balls of 1 bit by half meet up to a radius of 4")
-    emitted = variants(fps)
-    counted = emitted.groupBy("variant").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
-    counted = stored(counted, "variants")
-    close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
-    pairs = counted.where(F.col("n") == 2).where(close).select("a", "b")
-    many = counted.where(F.col("n") > 2).select("variant", "n")
-    again = emitted.join(many, "variant")
-    small = linked(again.where(F.col("n") <= direct), ["variant"], radius)
-    out = pairs.unionAll(small)
-    if counted.where(F.col("n") > direct).limit(1).count():
-        out = out.unionAll(linked(other_variants(again.where(F.col("n") > direct)), ["variant", "sub"], radius))
+    sorted_rows = variants(fps).repartition("variant").sortWithinPartitions("variant", "fp")
+    met = stored(sorted_rows.mapInArrow(lambda batches: scanned(batches, radius, direct), "variant long, a long, b long"), "met")
+    out = met.where("b is not null").select("a", "b")
+    large = met.where("b is null").select("variant", F.col("a").alias("fp"))
+    if large.limit(1).count():
+        out = out.unionAll(linked(other_variants(large), ["variant", "sub"], radius))
     return out.distinct()
 
 
