@@ -247,7 +247,7 @@ def escape_html(value: Column | str) -> Column:
 
 def search_queries(title: Column, performers: Column, code: Column, label: Column, is_creator: Column, most_names: int = 2, most_words: int = 5) -> Column:
     """Blocking keys of an item: up to two names, the title without them, its code, its label unless it is a creator's."""
-    known = F.slice(F.filter(F.array_distinct(F.transform(F.coalesce(performers, F.array().cast("array<string>")), performer_name)), lambda x: x != ""), 1, most_names)
+    known = F.slice(F.filter(F.array_distinct(F.transform(F.coalesce(performers, F.array().cast("array<string>")), lambda p: performer_name(p))), lambda x: x != ""), 1, most_names)
     inside = F.flatten(F.transform(known, words))
     rest = F.array_join(F.slice(F.filter(title_words(title), lambda w: ~F.array_contains(inside, w)), 1, most_words), " ")
     more = F.array(rest, code, F.when(~F.coalesce(is_creator, F.lit(False)), label))
