@@ -203,7 +203,7 @@ def map_categories(posts: DataFrame, categories: DataFrame, display: dict[str, s
 def normalised_tags(tags: Column) -> Column:
     """Names of tags, each a JSON text of a string or of an object with a name."""
     v = lambda t: F.try_parse_json(t)
-    name = lambda t: F.coalesce(F.try_variant_get(v(t), "$.name", "string"), F.when(~F.startswith(F.ltrim(t), F.lit("{")), F.try_variant_get(v(t), "$", "string")))
+    name = lambda t: F.coalesce(F.try_variant_get(v(t), "$.name", "string"), F.try_variant_get(v(t), "$[0]", "string"), F.when(~F.startswith(F.ltrim(t), F.lit("{")), F.try_variant_get(v(t), "$", "string")))
     return F.array_distinct(F.filter(F.transform(tags, name), lambda x: F.coalesce(x, F.lit("")) != ""))
 
 
@@ -234,3 +234,64 @@ def resolve_gender(performers: DataFrame, inline: DataFrame, by_id: DataFrame, b
         got = table.groupBy((F.lower(key) if key == "name" else F.col(key)).alias(f"__k{k}")).agg(F.max_by("gender", "ordinal").alias(f"__g{k}"))
         out = out.join(got, own == F.col(f"__k{k}"), "left").drop(f"__k{k}")
     return out.withColumn("gender", F.coalesce(*(F.nullif(F.col(f"__g{k}"), F.lit("")) for k in range(3)), F.lit("Unknown"))).drop(*(f"__g{k}" for k in range(3)))
+
+
+LISTED = "struct<`@type`:string,itemListElement:array<struct<position:int,url:string,name:string,item:struct<url:string,name:string,duration:string,uploadDate:string>>>>"
+
+
+def parse_linked_listing(pages: DataFrame, kind: str = "ItemList", html: str = "html", url: str = "url") -> DataFrame:
+    """A row for each element of the first linked-data block of a kind: place, link (absolute), title, duration_sec, date.
+
+    Relative addresses are completed with the page's own origin; blocks that are no JSON are passed over.
+    """
+    blocks = F.transform(F.regexp_extract_all(text_of(html), F.lit(LINKED_DATA), F.lit(1)), lambda b: F.from_json(F.trim(b), LISTED))
+    first = F.get(F.filter(blocks, lambda b: F.coalesce(b["@type"] == kind, F.lit(False))), F.lit(0))
+    rows = pages.withColumn("__list", first).select(*(c for c in pages.columns if c != html), F.posexplode("__list.itemListElement").alias("place", "__e"))
+    own = F.coalesce(F.col("__e.item.url"), F.col("__e.url"))
+    origin = F.regexp_extract(text_of(url), r"^(https?://[^/?#]+)", 1)
+    link = F.when(F.startswith(own, F.lit("/")), F.concat(origin, own)).otherwise(own)
+    return rows.withColumns({"link": link, "title": F.nullif(X.clean_text(F.coalesce(F.col("__e.item.name"), F.col("__e.name"))), F.lit("")), "duration_sec": X.parse_duration("__e.item.duration"), "date": F.left(F.col("__e.item.uploadDate"), F.lit(10))}).drop("__e")
+
+
+POST = "struct<id:bigint,date:string,date_gmt:string,link:string,slug:string,title:struct<rendered:string>,content:struct<rendered:string>,categories:array<bigint>,tags:array<string>,featured_media_url:string>"
+
+
+def parse_posts(raw: DataFrame, source: str, column: str = "json") -> DataFrame:
+    """Items from landed posts (a JSON object in column): decoded title, first category, UTC date before local, thumbnail.
+
+    The thumbnail is the post's own or the first image of its content. Posts that are no JSON or have no id have an _error.
+    """
+    p = raw.withColumn("__p", F.from_json(column, POST)).withColumn("__title", X.clean_text(decode_all("__p.title.rendered")))
+    date = F.coalesce(F.nullif(F.col("__p.date_gmt"), F.lit("")), F.col("__p.date"))
+    image = F.nullif(F.regexp_extract(text_of("__p.content.rendered"), r"(?is)<img\b[^>]*?src=[\"']([^\"']+)", 1), F.lit(""))
+    ident = F.col("__p.id").cast("string")
+    return p.select(ident.alias("source_item_id"), F.col("__title").alias("title"), F.col("__title").alias("original_title"), F.left(date, F.lit(10)).alias("release_date"), F.get("__p.categories", F.lit(0)).alias("category_id"), F.coalesce(F.nullif(F.col("__p.featured_media_url"), F.lit("")), image, F.lit("")).alias("thumbnail_url"), F.col("__p.link").alias("release_url"), F.lit(source).alias("source"), F.struct(F.lit(source).alias("source"), F.col("__p.link").alias("record_url"), ident.alias("source_item_id"), F.col("__p.date").alias("date"), F.col("__p.date_gmt").alias("date_gmt"), F.get("__p.categories", F.lit(0)).cast("string").alias("category_id")).alias("provenance"), F.when(F.col("__p.id").isNull(), "unreadable post").alias("_error"))
+
+
+def decode_all(value: Column | str) -> Column:
+    """All character references of a text; texts without an ampersand go through as they are."""
+    text = text_of(value)
+    return F.when(F.contains(text, F.lit("&")), X.decode_numeric_entities(text)).otherwise(text)
+
+
+ROW = "struct<id:string,title:string,release_date:string,writer:struct<id:string,slug:string,name:string>,tags:array<string>,badge:string,removed:boolean>"
+PAGE = f"struct<rows:array<{ROW}>,next:string>"
+
+
+def parse_listing_rows(pages: DataFrame, marker: str = "data-page", html: str = "html") -> DataFrame:
+    """A row for each listed entry of pages that carry their data as JSON in an attribute: item_id, title, group, next.
+
+    A page without such data gives one row with an _error; entries without an id are dropped.
+    """
+    page = pages.withColumn("__v", parsed(embedded_json(html, marker), PAGE))
+    rows = page.select(*(c for c in pages.columns if c != html), F.col("__v.next").alias("next"), F.col("__v").isNull().alias("__bad"), F.posexplode_outer("__v.rows").alias("place", "__r"))
+    w = "__r.writer"
+    group = F.coalesce(*(F.nullif(F.col(f"{w}.{k}"), F.lit("")) for k in ("slug", "id", "name")))
+    out = rows.withColumns({"item_id": F.col("__r.id"), "title": X.clean_text("__r.title"), "release_date": F.col("__r.release_date"), "group": group, "_error": F.when(F.col("__bad"), "no page data")})
+    return out.where(F.col("item_id").isNotNull() | F.col("__bad")).drop("__r", "__bad")
+
+
+def parse_details(pages: DataFrame, marker: str = "data-page", html: str = "html") -> DataFrame:
+    """A row for each detail page: item_id, tags (names), badge, removed; without an id or data, an _error."""
+    page = pages.withColumn("__v", parsed(embedded_json(html, marker), ROW))
+    return page.withColumns({"item_id": F.col("__v.id"), "tags": normalised_tags(F.coalesce(F.transform("__v.tags", lambda t: F.when(F.startswith(F.ltrim(t), F.lit("{")), t).otherwise(F.to_json(F.array(t)))), F.array().cast("array<string>"))), "badge": F.col("__v.badge"), "removed": F.coalesce("__v.removed", F.lit(False)), "_error": F.when(F.col("__v.id").isNull(), "no detail data")}).drop("__v", html)

@@ -88,3 +88,30 @@ def test_views(spark):
     health = views.source_health(status, items, F.col("ord") == 1)
     assert {r.label_id: (r.state, r.item_count, r.live_count, r.match_percent) for r in health.collect()} == {"l": ("ok", 2, 1, 50), "m": ("config", 1, 0, 0), "n": ("failing", 0, 0, None)}
     assert views.health_summary(health).first().line == "1 failing, 1 not configured"
+
+
+def test_linked_listing(spark):
+    data = {"@type": "ItemList", "itemListElement": [{"position": 1, "url": "/a", "name": "One &amp; a"}, {"item": {"url": "https://o.example/b", "name": "Two", "duration": "PT1M", "uploadDate": "2024-03-05T00"}}]}
+    html = f'<script type="application/ld+json">{{broken</script><script type="application/ld+json">{json.dumps(data)}</script>'
+    got = E.parse_linked_listing(spark.createDataFrame([("https://x.example/list?p=1", html), ("u", "")], "url string, html string")).orderBy("place").collect()
+    assert [(r.link, r.title, r.duration_sec, r.date) for r in got] == [("https://x.example/a", "One & a", None, None), ("https://o.example/b", "Two", 60, "2024-03-05")]
+
+
+def test_posts(spark):
+    post = {"id": 5, "date": "2024-03-06T01", "date_gmt": "2024-03-05T17", "link": "l", "title": {"rendered": "A &#8211; b"}, "content": {"rendered": "<p><img class='x' src='i.jpg'>"}, "categories": [7, 8]}
+    got = E.parse_posts(spark.createDataFrame([(json.dumps(post),), ("no",)], "json string"), "S").collect()
+    assert (got[0].source_item_id, got[0].title, got[0].release_date, got[0].category_id, got[0].thumbnail_url) == ("5", "A – b", "2024-03-05", 7, "i.jpg")
+    assert got[1]["_error"] == "unreadable post"
+
+
+def test_page_rows_and_details(spark):
+    import html as h
+
+    page = lambda v: f'<div data-page="{h.escape(json.dumps(v))}">'
+    rows = {"rows": [{"id": "1", "title": "One", "writer": {"slug": "", "id": "w1"}}, {"title": "no id"}], "next": "c2"}
+    got = E.parse_listing_rows(spark.createDataFrame([("a", page(rows)), ("b", "<p>")], "url string, html string")).collect()
+    assert sorted((r.url, r.item_id or "", r["group"] or "", r.next or "", r["_error"] or "") for r in got) == [("a", "1", "w1", "c2", ""), ("b", "", "", "", "no page data")]
+    detail = {"id": "1", "tags": ["x", {"name": "y"}, "x"], "badge": "N"}
+    got = E.parse_details(spark.createDataFrame([("a", page(detail)), ("b", "")], "url string, html string")).orderBy("url").collect()
+    assert (got[0].item_id, got[0].tags, got[0].badge, got[0].removed) == ("1", ["x", "y"], "N", False)
+    assert got[1]["_error"] == "no detail data"
