@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -49,7 +50,16 @@ def raw_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+def trim() -> None:
+    """Gives freed memory back to the machine, as a worker process waits for its next task with whatever it still holds."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
+def slices(texts: list) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about SLICE_BYTES each."""
     start = size = 0
     for i, t in enumerate(texts):
@@ -76,6 +86,7 @@ def map_texts(df: DataFrame, keep: list[str], text: str, made: list[T.StructFiel
             for a, b in slices(texts):
                 got = work(texts[a:b])
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i in range(len(keep))] + [pa.array(x, t) for x, t in zip(got, arrow, strict=True)], names=schema.names)
+        trim()
 
     return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
 
@@ -93,17 +104,20 @@ def filter_texts(df: DataFrame, text: str, keep: Callable[[list[bytes]], list[bo
             texts = raw_texts(batch.column(at))
             mask = [x for a, b in slices(texts) for x in keep(texts[a:b])]
             yield pa.RecordBatch.from_arrays(batch.columns, names=names).filter(pa.array(mask, pa.bool_()))
+        trim()
 
     return df.mapInArrow(run, df.schema)
 
 
 def sampled(df: DataFrame, key: str, rows: int, seed: int) -> DataFrame:
-    """About rows rows of df, the same for the same data: those whose keyed hash falls under rows / count.
+    """About rows rows of df, the same for the same data: those whose hash falls under rows / count, wherever they are.
 
-    rows is the documented bound of a training sample; a quarter more than it is never passed.
+    The hash is of the key and, if there is one, the text. rows is the documented bound of a training sample; who brings
+    a sample to the driver also limits it to twice as much, for tables of which one row is repeated very often.
     """
     n = df.count()
     if n <= rows:
         return df
     share = int(rows / n * (1 << 30))
-    return df.where(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(1 << 30)) < share).limit(rows + rows // 4)
+    parts = [F.col(key).cast("string"), *([F.col("text")] if "text" in df.columns else [])]
+    return df.where(F.pmod(F.xxhash64(*parts, F.lit(seed)), F.lit(1 << 30)) < share)
