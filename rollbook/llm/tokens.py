@@ -37,7 +37,7 @@ def byte_letters() -> dict[int, str]:
 class Encoder:
     """kind "words": white space is dropped, pieces are words. kind "bytes": a piece keeps its leading space."""
 
-    def __init__(self, path: str, kind: str, most_pieces: int = 300_000) -> None:
+    def __init__(self, path: str, kind: str, most_pieces: int = 60_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -57,7 +57,7 @@ class Encoder:
         if got is None:
             if len(self.parts) > 2 * self.most:
                 self.parts.clear()
-            shown = text if text.isascii() and " " not in text else "".join([self.letters[b] for b in text.encode()])
+            shown = text.replace(" ", self.letters[0x20]) if text.isascii() else "".join([self.letters[b] for b in text.encode()])
             ids = [t.id for t in self.tokenize(shown)]
             got = self.parts[text] = pack(f"<{len(ids)}I", *ids)
         return got
