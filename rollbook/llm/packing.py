@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollbook.llm.common import stored
+from rollbook.llm.common import slices, stored, trim
 from rollbook.llm.tokens import encoder
 
 #: Partitions whose left-over windows meet in one task of a merge round.
@@ -132,10 +132,9 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 4096, end_id: int = 2, op
         packer = Packer(size, open_windows, least_piece, TaskContext.get().partitionId() << 32)
         rows: list[tuple] = []
         for batch in batches:
-            for a in range(0, len(batch), 500):
-                part = batch.slice(a, 500)
-                texts = [x or "" for x in part.column(1).to_pylist()]
-                for doc_id, ids in zip(part.column(0).to_pylist(), encode(texts), strict=True):
+            names, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
+            for a, b in slices(texts):
+                for doc_id, ids in zip(names[a:b], encode(texts[a:b]), strict=True):
                     for w in packer.add(doc_id, ids + end):
                         rows += rows_of(w, False)
                 if len(rows) >= 5000:
@@ -145,6 +144,7 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 4096, end_id: int = 2, op
         for w in left:
             rows += rows_of(w, w.used < size)
         yield batch_of(rows, out)
+        trim()
 
     def merge(table: pa.Table) -> pa.Table:
         out = arrow_schema(schema)

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollbook.llm.common import fresh_path
+from rollbook.llm.common import fresh_path, slices, trim
 from rollbook.llm.tokens import encoder
 
 KEYS = np.dtype([("null", "u1"), ("id", "<i8"), ("nth", "<u4")])
@@ -183,17 +183,18 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int
             return pa.RecordBatch.from_pydict({"name": [name], "docs": [len(keys)], "ids": [total]})
 
         for batch in batches:
-            for a in range(0, len(batch), 500):
-                part = batch.slice(a, 500)
-                for ids in encode([x or "" for x in part.column(1).to_pylist()]):
+            names, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
+            for a, b in slices(texts):
+                for ids in encode(texts[a:b]):
                     payload.append((np.frombuffer(ids, "<u4").astype(id_type).tobytes() if id_type == "<u2" else ids) + end)
                     size += len(payload[-1])
-                keys += part.column(0).to_pylist()
+                keys += names[a:b]
                 if size >= SHARD_IDS * len(end):
                     yield flush()
                     keys, payload, size, shard = [], [], 0, shard + 1
         if keys:
             yield flush()
+        trim()
 
     columns = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     tie = F.xxhash64("text")
