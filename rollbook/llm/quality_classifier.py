@@ -155,7 +155,7 @@ def learn_quality(docs: DataFrame, sample_docs: int = 5000, key: str = "doc_id",
         return [[",".join(map(str, votes(t))) for t in texts], [at.astype("<u2").tobytes() for at, _ in made], [x.astype("<f4").tobytes() for _, x in made]]
 
     picked = sampled(docs.select(key, text), key, sample_docs, 3)
-    found = map_texts(picked, [key], text, [T.StructField("pattern", T.StringType()), T.StructField("at", T.BinaryType()), T.StructField("x", T.BinaryType())], work).collect()
+    found = map_texts(picked, [key], text, [T.StructField("pattern", T.StringType()), T.StructField("at", T.BinaryType()), T.StructField("x", T.BinaryType())], work).limit(2 * sample_docs).collect()
     found.sort(key=lambda r: (str(r[0]), r.at, r.x))
     examples = [(np.frombuffer(r.at, "<u2").astype(np.int64), np.frombuffer(r.x, "<f4").astype(float), of.get(r.pattern, share)) for r in found]
     mass = max(1e-6, sum(y for _, _, y in examples) / max(1, len(examples)))

@@ -152,7 +152,7 @@ def learn_crf(docs: DataFrame, labels: DataFrame | None, sample_docs: int = 1500
         return UNTRAINED
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     got = sampled(marked, "doc_id", sample_docs, 5)
-    found = docs.select("doc_id", "text").join(got, "doc_id").limit(2 * sample_docs).toPandas()
+    found = docs.select("doc_id", "text").join(F.broadcast(got), "doc_id").limit(2 * sample_docs).toPandas()
     found = found.sort_values("doc_id", kind="stable")
     sequences = []
     for text, quality in zip(found["text"], found["quality"], strict=True):

@@ -86,7 +86,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, sample_docs: int = 6000,
                 rows = [x.astype("<i4").tobytes() for x in features(raw_texts(part.column(1)))]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), part.column(2), pa.array(rows, pa.binary())], names=["id", "label", "features"])
 
-    found = docs.select(key, text).join(picked, key).select(key, text, "__label").mapInArrow(run, "id string, label int, features binary").limit(2 * sample_docs)
+    found = docs.select(key, text).join(F.broadcast(picked), key).select(key, text, "__label").mapInArrow(run, "id string, label int, features binary").limit(2 * sample_docs)
     rows = sorted(found.collect(), key=lambda r: (r.id, r.features))
     examples = [(np.frombuffer(r.features, "<i4").astype(np.int64), r.label) for r in rows]
     seen = {y for _, y in examples}
