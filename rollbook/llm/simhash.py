@@ -227,21 +227,18 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = 4, key:
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS, width: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without near-duplicates: of each component the row with the least key stays, of repeated rows one.
+    """docs without near-duplicates: of each component its own row with the least key stays, of repeated rows one.
 
-    Only keys and fingerprints go through the search. Rows without a key stay only where their component has no row with
-    one, and then one of them. All columns are kept, whatever their names.
+    A row is told by its key and its text's hash, as keys may repeat over unlike texts. Only these and fingerprints go
+    through the search. Rows without a key stay only where their component has no row with one, and then one of them.
+    All columns are kept, whatever their names.
     """
-    names = docs.columns
-    marked = stored(fingerprints(docs, [key], width, text), "fingerprints")
-    labels = stored(labelled(marked, radius, key), "labels")
-    heads = labels.where(F.col("component_id").isNotNull()).select(F.col("component_id").alias(key)).distinct()
-    turn = Window.partitionBy(key).orderBy(F.xxhash64(text))
-    kept = docs.join(heads, key, "left_semi").select("*", F.row_number().over(turn).alias("__turn")).where("__turn = 1").select(*names)
-    bare = docs.where(F.col(key).isNull())
-    if not bare.limit(1).count():
-        return kept
-    nameless = labels.where(F.col("component_id").isNull()).select(F.col("fp").alias("__fp"), F.col("root").alias("__root"))
-    with_fp = fingerprints(bare, names, width, text).withColumnRenamed("fp", "__fp").join(nameless, "__fp")
-    turn = Window.partitionBy("__root").orderBy(F.xxhash64(text))
-    return kept.unionAll(with_fp.select("*", F.row_number().over(turn).alias("__turn")).where("__turn = 1").select(*names))
+    names, own = docs.columns, F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    marked = stored(fingerprints(docs.select(key, text, own.alias("__hash")), [key, "__hash"], width, text), "fingerprints")
+    roots = labelled(marked, radius, key).select("fp", "root")
+    order = F.struct(F.col(key).isNull().alias("bare"), F.col(key).alias("key"), F.col("__hash").alias("hash"))
+    firsts = marked.groupBy("fp").agg(F.min(order).alias("first"))
+    heads = stored(firsts.join(roots, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("__key"), F.col("first.hash").alias("__head")), "heads")
+    turn = Window.partitionBy(key, own).orderBy(own)
+    same = F.col(key).eqNullSafe(F.col("__key")) & (own == F.col("__head"))
+    return docs.join(heads, same, "left_semi").select("*", F.row_number().over(turn).alias("__turn")).where("__turn = 1").select(*names)

@@ -98,3 +98,9 @@ def test_one_of_each_keeps_columns_and_one_row(spark):
     got = simhash.one_of_each(df)
     assert got.columns == df.columns
     assert sorted((r.doc_id or -1, r.text) for r in got.collect()) == [(-1, "wholly other words are here now"), (3, "a b c d e")]
+
+
+def test_one_of_each_keeps_unlike_texts_of_one_key(spark):
+    rows = [(5, "a b c d e"), (5, "wholly other words are here now"), (5, "a third text of its own"), (2, "a b c d e"), (5, "a third text of its own"), (None, "a b c d e"), (9, None), (9, "")]
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text or "") for r in got) == [(2, "a b c d e"), (5, "a third text of its own"), (5, "wholly other words are here now"), (9, "")]
