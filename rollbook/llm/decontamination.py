@@ -4,12 +4,14 @@ A mask picks six of eight or nine neighbouring words; the hash of the picked wor
 the words in between are. Test hashes are joined to training hashes, and each hit names a document, an item and a diagonal
 (where the item would begin in the document). Along the diagonal the words are then compared one by one: a document
 is contaminated if some WINDOW words in a row hold at least SHARE equal ones. The two masks were found by search to be
-lossless: any 13 words with at most two substitutions show at least one of them whole.
+lossless: any 13 words with at most two substitutions show at least one of them whole. Items of fewer words get masks of
+their own, found when they are searched, that are lossless for the substitutions that SHARE permits at their lengths.
 """
 
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,22 +31,47 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def seeds(words: str, picked: tuple[int, ...], number: int) -> Column:
-    """Hashes of the picked words at every place where the mask fits, in order."""
+def seeds(words: str, picked: tuple[int, ...], number: int, most: int | None = None) -> Column:
+    """Hashes of the picked words at every place where the mask fits, in order; with most, none of longer texts."""
     span = picked[-1] + 1
     at = ", ".join(f"{words}[i + {o}]" for o in picked)
-    return F.expr(f"case when size({words}) >= {span} then transform(sequence(0, size({words}) - {span}), i -> xxhash64({at}, {number})) else array() end")
+    short = "" if most is None else f" and size({words}) <= {most}"
+    return F.expr(f"case when size({words}) >= {span}{short} then transform(sequence(0, size({words}) - {span}), i -> xxhash64({at}, {number})) else array() end")
 
 
-def masks_for(lengths: list[int]) -> list[tuple[int, ...]]:
-    """MASKS, and for items too short for any of them whole runs of their length."""
-    longest = max(m[-1] for m in MASKS) + 1
-    return [*MASKS, *(tuple(range(n)) for n in sorted({n for n in lengths if 0 < n < longest}))]
+def masks_for(lengths: list[int], window: int = WINDOW, share: float = SHARE) -> list[tuple[int, ...]]:
+    """MASKS, and more for items of lengths under window, so that each shows a mask whole whatever substitutions share permits.
 
-
-def seed_rows(table: DataFrame, keep: list[str], words: str, masks: list[tuple[int, ...]]) -> DataFrame:
-    """keep columns, place and seed: a row for each place and mask."""
-    made = table.select(*keep, *(seeds(words, m, k).alias(f"__seeds{k}") for k, m in enumerate(masks)))
+    From the shortest length on, picks of words are added that cover most of the substitutions still open, until none is.
+    """
+    masks = list(MASKS)
+    for n in sorted({n for n in lengths if 0 < n < window}):
+        bad = n - needed(n, window, share)
+        own = [m for m in masks if n <= longest_item(m, window, share)]
+        todo = [p for p in map(set, combinations(range(n), bad)) if not any(shows(m, n, p) for m in own)]
+        weight = min(6, n - bad)
+        pool = [(0, *m) for m in combinations(range(1, n), weight - 1)] if todo else []
+        while todo:
+            best = max(pool, key=lambda m: sum(shows(m, n, p) for p in todo))
+            masks.append(best)
+            todo = [p for p in todo if not shows(best, n, p)]
+    return masks
+
+
+def longest_item(mask: tuple[int, ...], window: int = WINDOW, share: float = SHARE) -> int:
+    """Words of the longest item under window that mask serves; one of under 4 words only items that leave no more."""
+    return max((n for n in range(1, window) if min(4, needed(n, window, share)) <= len(mask)), default=0)
+
+
+def shows(mask: tuple[int, ...], n: int, changed: set[int]) -> bool:
+    """Whether mask fits somewhere in n words without picking a changed one."""
+    return any(changed.isdisjoint(o + at for o in mask) for at in range(n - mask[-1]))
+
+
+def seed_rows(table: DataFrame, keep: list[str], words: str, masks: list[tuple[int, ...]], most: list[int | None] | None = None) -> DataFrame:
+    """keep columns, place and seed: a row for each place and mask; most: the longest texts that each mask is for."""
+    most = most or [None] * len(masks)
+    made = table.select(*keep, *(seeds(words, m, k, most[k]).alias(f"__seeds{k}") for k, m in enumerate(masks)))
     ends = [sum((F.size(f"__seeds{j}") for j in range(k)), F.lit(0)).alias(f"__end{k}") for k in range(len(masks))]
     laid = made.select(*keep, *ends, F.posexplode(F.concat(*(f"__seeds{k}" for k in range(len(masks))))).alias("__at", "seed"))
     begin = F.lit(0)
@@ -57,15 +84,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     """A row for each contaminated document and item: key, text_hash, item id, matched (equal words on the best diagonal).
 
     Null and wordless texts and items match nothing; an empty table on either side gives no rows. Items shorter than
-    window must hold share of all their words; those too short for a mask are found where their words stand unchanged.
+    window must hold share of all their words, and are found with any substitutions that this permits.
     Items of equal words are searched once, then all named. Rows of one key and text give one row an item. A null key is
     a key like others. Whole texts are searched; columns other than those named are not read.
     """
     tests = stored(benchmark.select(F.col(item).alias("item"), word_hashes(F.col(item_text)).alias("words")).where("size(words) > 0"), "benchmark")
     classes = tests.groupBy("words").agg(F.count("*").alias("n")).select(F.xxhash64(F.to_json("words")).alias("class"), "words")
     lengths = [r[0] for r in classes.select(F.size("words")).distinct().where(f"size(words) < {window}").collect()]  # fewer than window rows
-    masks = masks_for(lengths)
-    known = stored(seed_rows(classes, ["class"], "words", masks).groupBy("seed", "class").agg(F.collect_set("place").alias("places")), "seeds")
+    masks = masks_for(lengths, window, share)
+    most = [None if m in MASKS else longest_item(m, window, share) for m in masks]
+    known = stored(seed_rows(classes, ["class"], "words", masks, most).groupBy("seed", "class").agg(F.collect_set("place").alias("places")), "seeds")
     if known.count() <= MOST_SEEDS:
         known = F.broadcast(known)
     columns = docs.select(F.col(key).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), word_hashes(F.col(text)).alias("words"))

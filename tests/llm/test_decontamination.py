@@ -65,3 +65,27 @@ def test_no_python_in_the_plan(spark):
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     plan = dc.contaminated(docs, bench)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_short_items_with_all_permitted_substitutions(spark):
+    from itertools import combinations
+
+    items = [(n, " ".join(f"i{n}x{k}" for k in range(n))) for n in range(5, 13)]
+    docs = []
+    for n, text in items:
+        for bad in range(n - dc.needed(n) + 2):
+            for at in combinations(range(n), bad):
+                words = [f"other{k}" if k in at else w for k, w in enumerate(text.split())]
+                docs.append((len(docs), " ".join(["before", *words, "after"])))
+    got = dc.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(x.doc_id, x.item_id) for x in got.collect()} == slow(docs, items)
+
+
+def test_masks_of_every_short_length_are_lossless():
+    from itertools import combinations
+
+    for lengths in [*([n] for n in range(1, 13)), list(range(1, 13))]:
+        masks = dc.masks_for(lengths)
+        for n in lengths:
+            own = [m for m in masks if m in dc.MASKS or n <= dc.longest_item(m)]
+            assert all(any(dc.shows(m, n, set(bad)) for m in own) for bad in combinations(range(n), n - dc.needed(n)))
