@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from rollbook.llm import quality_classifier as qc
 from rollbook.llm import quality_rules as qr
@@ -83,3 +84,13 @@ def test_classifier_edges(spark):
     assert qc.fine_documents(df, model).columns == df.columns
     empty = df.limit(0)
     assert qc.quality(empty, qc.learn_quality(empty)).count() == 0
+
+
+def test_crf_learns_from_whole_texts(spark):
+    plain, junk = "an ordinary line of plain words, as they stand.\n", "## BUY | NOW ## CLICK | HERE ##\n"
+    rows = [(1, plain * 600 + junk * 40), (2, junk * 30 + plain * 500), (3, plain * 10), (4, junk * 10)]
+    quality = {1: 1, 2: 0, 3: 1, 4: 0}
+    lines = [(d, qr.line_features(t.encode())[0]) for d, t in rows]
+    want = qr.fit([(x, np.full(len(x), int(quality[d] == 0))) for d, x in lines])
+    got = qr.learn_crf(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(quality.items()), "doc_id long, quality int"))
+    assert got.emit == pytest.approx(want.emit) and np.allclose(got.move, want.move)
