@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollbook.llm.common import slices, stored, trim
-from rollbook.llm.tokens import encoder
+from rollbook.llm.common import stored, trim
+from rollbook.llm.tokens import blocks, encoder
 
 #: Partitions whose left-over windows meet in one task of a merge round.
 MERGE_WIDTH = 64
@@ -132,10 +132,12 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 4096, end_id: int = 2, op
         packer = Packer(size, open_windows, least_piece, TaskContext.get().partitionId() << 32)
         rows: list[tuple] = []
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
-            for a, b in slices(texts):
-                for doc_id, ids in zip(names[a:b], encode(texts[a:b]), strict=True):
-                    for w in packer.add(doc_id, ids + end):
+            names = batch.column(0).to_pylist()
+            for a, b in blocks(batch.column(1)):
+                ids, begin = encode(batch.column(1).slice(a, b - a))
+                laid, at = ids.tobytes(), (begin * WIDTH).tolist()
+                for doc_id, x, y in zip(names[a:b], at, at[1:], strict=False):
+                    for w in packer.add(doc_id, laid[x:y] + end):
                         rows += rows_of(w, False)
                 if len(rows) >= 5000:
                     yield batch_of(rows, out)
