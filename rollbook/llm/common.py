@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,9 +25,11 @@ def crc_remainder(key: Column, modulus: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only local mode may leave it unset: a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="rollbook-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -38,10 +41,20 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def passing(spark: SparkSession, path: str) -> None:
+    """Has the path deleted when the application ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read again: computed once, with no lineage to lose."""
+    """df written as a table in the shared folder and read again: computed once, with no lineage to lose.
+
+    The table lives as long as the application.
+    """
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    passing(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -121,3 +134,17 @@ def sampled(df: DataFrame, key: str, rows: int, seed: int) -> DataFrame:
     share = int(rows / n * (1 << 30))
     parts = [F.col(key).cast("string"), *([F.col("text")] if "text" in df.columns else [])]
     return df.where(F.pmod(F.xxhash64(*parts, F.lit(seed)), F.lit(1 << 30)) < share)
+
+
+def gathered(sample: DataFrame, size: Column, most: int, seed: int) -> pa.Table:
+    """A training sample's rows on the driver, about most bytes of them by their own size: all, or those of the least hashes.
+
+    Which rows these are depends on the rows alone. A row of over a hundredth of most does not fit a sample that is cut:
+    the bound holds then, and the documented sizes are such that only a cut sample of very long texts meets it.
+    """
+    kept = stored(sample.withColumn("__size", size.cast("long")), "sample")
+    total = kept.agg(F.coalesce(F.sum("__size"), F.lit(0))).first()[0]
+    if total > most:
+        share = int(most / total * (1 << 30))
+        kept = kept.where((F.pmod(F.xxhash64(*sample.columns, F.lit(seed)), F.lit(1 << 30)) < share) & (F.col("__size") <= most // 100))
+    return kept.drop("__size").toArrow()
