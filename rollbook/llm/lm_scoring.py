@@ -1,288 +1,273 @@
 """Language-model scoring (operator 2): prediction by partial matching over bytes, beside a smoothed word unigram.
 
-The trie of byte contexts is pretrained. Which contexts have a node is settled on a bounded sample; what follows them is
-counted over all training texts, at each byte's longest context, and added up along the suffixes. At a context with total
-T and D distinct symbols the escape is D / (T + D); a shorter context leaves out all symbols of the longer one (symbol
-exclusion). As a context's symbols are among those of its suffix, what an escape leads to depends on the context alone,
-and the trie folds into one table: log-probability by (longest known context, symbol). A text's code length is then read
-off that table for all its bytes at once.
-
-The unigram's counts stay distributed. The most frequent tokens' counts are broadcast, a bounded number; the other tokens
-of a text are joined to theirs.
+Every run of up to ORDER bytes that occurs in a training text is a context; none is left out, so the model grows with the
+corpus and nowhere lies in one piece. At a context with total T and D distinct symbols the escape is D / (T + D), and a
+shorter context leaves out all symbols of the longer one (symbol exclusion). A context's symbols are among those of its
+suffix, so what a context passes down are three numbers: T, D, and X, the total that its suffix gives to its symbols. The
+probability of a byte thus depends on the gram of ORDER bytes and itself, and on counts of its suffixes.
+
+A scan lists each partition's distinct grams and words with their counts in training texts. The grams' counts are summed
+over partitions; grams with the same last bytes of context, whose whole subtree of the trie is then in one place, get
+their probabilities; these and the words' counts are joined back to the partitions that asked and written as a small
+dictionary for each. A second scan, cut into the same partitions, adds up what its dictionary says.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollbook.llm.common import crc_remainder, raw_texts, sampled, slices, stored, trim
+from rollbook.llm.common import SPACE, crc_remainder, fresh_path, passing, raw_texts, slices, stored, trim
 
-ORDER = 6
-END = 0  # the byte that ends a text
-HOT_TOKENS = 100_000
-
-
-def gram_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct runs of ORDER + 1 bytes, as numbers, and their counts; a text starts after ORDER ENDs and has one at its end."""
-    joined = np.frombuffer(b"".join([bytes(ORDER) + t.lower() + b"\0" for t in texts]), np.uint8).astype(np.uint64)
-    keys = np.zeros(len(joined) - ORDER, np.uint64)
-    for i in range(ORDER + 1):
-        keys = keys << np.uint64(8) | joined[i : i + len(keys)]
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    inside = np.ones(len(keys), bool)
-    starts = np.cumsum(sizes + ORDER)[:-1] - ORDER
-    inside[(starts[:, None] + np.arange(ORDER)).ravel()] = False  # runs that would reach over into the next text
-    return np.unique(keys[inside], return_counts=True)
+ORDER = 5
+#: Contexts of so many bytes and fewer are known everywhere: at most 256**3 grams; longer ones by these last bytes.
+NEAR = 2
+END = b""  # the token that ends a text; the byte is 0
+LOWERED = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+IS_SPACE = np.isin(np.arange(256), list(SPACE))
 
 
 @dataclass
-class Trie:
-    """column: by byte; first: node by column; child: node by (node, column of the byte before its context), -1 none; parent.
-
-    Node 0 is the empty context; a node's parent is its context without the first byte.
+class Laid:
+    """A slice of texts: the grams of every byte and end, with the text's bounds in them; the words, with theirs."""
+
+    grams: np.ndarray
+    gram_bounds: np.ndarray
+    words: pa.Array
+    word_bounds: np.ndarray
+
+
+def laid_out(texts: list[bytes], order: int = ORDER) -> Laid:
+    """Grams are order + 1 bytes as a number, the last byte lowest; a text starts after order zeros and has one at its end."""
+    data = LOWERED[np.frombuffer(b"".join([bytes(order) + t + b"\0" for t in texts]), np.uint8)]
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    begin = np.cumsum(sizes + order + 1) - (sizes + order + 1)
+    grams = np.zeros(max(0, len(data) - order), np.int64)
+    for i in range(order + 1):
+        grams <<= 8
+        grams |= data[i : i + len(grams)]
+    inside = np.ones(len(grams), bool)
+    inside[(begin[1:, None] - np.arange(1, order + 1)).ravel()] = False  # these reach over into the next text
+    own = np.ones(len(data), bool)
+    own[(begin[:, None] + np.arange(order)).ravel()] = False
+    own[begin + sizes + order] = False
+    gap = IS_SPACE[data] | ~own
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True])).view(np.int8)))
+    starts, ends = edge[::2], edge[1::2]
+    offsets = np.concatenate(([0], np.cumsum(ends - starts)))
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[~gap])]).cast(pa.binary())
+    return Laid(grams[inside], np.concatenate(([0], np.cumsum(sizes + 1))), words, np.append(np.searchsorted(starts, begin), len(starts)))
+
+
+class Tally:
+    """Distinct values met so far and how often each was counted."""
+
+    def __init__(self, kind: pa.DataType) -> None:
+        self.values, self.counts = pa.array([], kind), np.zeros(0, np.int64)
+
+    def add(self, values: pa.Array, counted: np.ndarray) -> None:
+        """Takes in all values; counted tells which of them count."""
+        if not len(values):
+            return
+        coded = pa.chunked_array([self.values, values]).dictionary_encode().chunks[-1]
+        self.values = coded.dictionary
+        more = np.bincount(coded.indices.to_numpy(), counted, len(self.values)).astype(np.int64)
+        more[: len(self.counts)] += self.counts
+        self.counts = more
+
+
+def subtables(grams: np.ndarray, counts: np.ndarray, low: int, high: int, below: tuple | None) -> list[tuple]:
+    """For contexts of low to high bytes: (context and symbol), their count, contexts, T, D, X by context; all sorted.
+
+    grams end in the contexts' last bytes and the symbol; below is the table of contexts one byte shorter than low.
+    """
+    out = [] if below is None else [below]
+    for k in range(low, high + 1):
+        pairs, at = np.unique(grams & ((1 << (8 * (k + 1))) - 1), return_inverse=True)
+        n = np.bincount(at, counts, len(pairs))
+        contexts, of, distinct = np.unique(pairs >> 8, return_inverse=True, return_counts=True)
+        x = np.zeros(len(contexts))
+        if out:
+            x = np.bincount(of, out[-1][1][np.searchsorted(out[-1][0], pairs & ((1 << (8 * k)) - 1))], len(contexts))
+        out.append((pairs, n, contexts, np.bincount(of, n, len(contexts)), distinct.astype(float), x))
+    return out if below is None else out[1:]
+
+
+def places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where wanted stand in sorted keys, -1 for those that don't."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
+
+
+def log10_chances(grams: np.ndarray, tables: list[tuple]) -> np.ndarray:
+    """log10 of the probability of each gram's last byte after the others; tables: of contexts of 0 bytes, 1 byte, and so on."""
+    p, found = np.ones(len(grams)), np.zeros(len(grams), bool)
+    left_d, left_x = np.zeros(len(grams)), np.zeros(len(grams))  # symbols of the longer context, and their total here
+    for k in range(len(tables) - 1, -1, -1):
+        pairs, n, contexts, total, distinct, x = tables[k]
+        key = grams & ((1 << (8 * (k + 1))) - 1)
+        at, hit = places(contexts, key >> 8), places(pairs, key)
+        if not len(contexts):
+            continue
+        known = at >= 0
+        t, d = np.where(known, total[at] - left_x, 0.0), np.where(known, distinct[at] - left_d, 0.0)
+        here = (hit >= 0) & ~found
+        p[here] *= n[hit[here]] / (t[here] + d[here])
+        found |= here
+        escaped = ~found & (d > 0)
+        p[escaped] *= d[escaped] / (t[escaped] + d[escaped])
+        left_d, left_x = np.where(known, distinct[at], 0.0), np.where(known, x[at], 0.0)
+    met = tables[0][4][0] if len(tables[0][4]) else 0
+    p[~found] /= max(1, 256 - met)
+    return np.log10(np.maximum(p, 1e-300))
+
+
+def listed(docs: DataFrame, order: int) -> DataFrame:
+    """part, token or gram, n: the distinct words and grams of each partition of docs (train, text), counted in training texts.
+
+    A row of neither has the number of training texts as n, and a partition's first row as token tells it apart.
     """
 
-    column: np.ndarray
-    first: np.ndarray
-    child: np.ndarray
-    parent: np.ndarray
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, ends = TaskContext.get().partitionId(), 0
+        words, grams = Tally(pa.binary()), Tally(pa.int64())
+        for batch in batches:
+            texts, learned = raw_texts(batch.column(1)), batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
+            for a, b in slices(texts):
+                laid, train = laid_out(texts[a:b], order), learned[a:b]
+                ends += int(train.sum())
+                words.add(laid.words, np.repeat(train, np.diff(laid.word_bounds)))
+                grams.add(pa.array(laid.grams), np.repeat(train, np.diff(laid.gram_bounds)))
+        words.add(pa.array([END], pa.binary()), np.array([ends]))
+        order_of = np.argsort(grams.values.to_numpy())
+        made = ((words.values, pa.nulls(len(words.values), pa.int64()), words.counts), (None, grams.values.take(pa.array(order_of)), grams.counts[order_of]))
+        for tokens, numbers, counts in made:
+            for a in range(0, len(counts), 100_000):
+                n = min(100_000, len(counts) - a)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.nulls(n, pa.binary()) if tokens is None else tokens.slice(a, n), numbers.slice(a, n), pa.array(counts[a : a + n])], names=["part", "token", "gram", "n"])
+        trim()
 
-    def nodes_at(self, data: np.ndarray) -> np.ndarray:
-        """Node of the longest known context before each byte of data from the ORDER-th on."""
-        cols = self.column[data]
-        n = len(data) - ORDER
-        node = self.first[cols[ORDER - 1 : ORDER - 1 + n]]
-        deep = np.where(node > 0, node, -1)
-        for back in range(2, ORDER + 1):
-            deep = np.where(deep >= 0, self.child[deep, cols[ORDER - back : ORDER - back + n]], -1)
-            node = np.where(deep >= 0, deep, node)
-        return node
+    return docs.mapInArrow(run, "part int, token binary, gram long, n long")
 
 
-def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts with ASCII capitals as small letters, each after ORDER ENDs and with one behind; and their sizes with that one."""
-    return np.frombuffer(b"".join([bytes(ORDER) + t.lower() + b"\0" for t in texts]), np.uint8), np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+def chances(totals: DataFrame, near: list[tuple], order: int) -> DataFrame:
+    """gram, logp: log10 of the probability of each gram of totals (gram, n), where n counts training texts.
 
+    Grams meet by their NEAR + 1 last bytes of context: all longer contexts of a gram are then where it is.
+    """
+    shared = totals.sparkSession.sparkContext.broadcast(near)
 
-def choose_contexts(grams: np.ndarray, counts: np.ndarray, most: int) -> Trie:
-    """A trie of all contexts of one and two bytes in grams, and of the most frequent longer ones, most of each length.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if not held:
+            return
+        grams, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        met = n > 0
+        logp = log10_chances(grams, [*shared.value, *subtables(grams[met], n[met], NEAR + 1, order, shared.value[NEAR])])
+        for a in range(0, len(grams), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(grams[a : a + 100_000]), pa.array(logp[a : a + 100_000].astype(np.float32))], names=["gram", "logp"])
+        trim()
 
-    A context has a node only if its suffix has one.
-    """
-    contexts = grams >> 8
-    seen = np.unique(contexts & 255)
-    column = np.full(256, len(seen), np.int64)  # the last column: bytes that no context has
-    column[seen] = np.arange(len(seen))
-    first = np.zeros(len(seen) + 1, np.int64)
-    first[: len(seen)] = 1 + np.arange(len(seen))
-    level, node_of = seen, {int(c): k + 1 for k, c in enumerate(seen)}
-    parent, edges, nodes = [0] * (1 + len(seen)), [], 1 + len(seen)
-    for k in range(2, ORDER + 1):
-        ids, at = np.unique(contexts & ((1 << (8 * k)) - 1), return_inverse=True)
-        fit = np.isin(ids & ((1 << (8 * (k - 1))) - 1), level)
-        weight = np.bincount(at, counts, len(ids)) * fit
-        keep = np.flatnonzero(fit) if k == 2 else np.argsort(-weight, kind="stable")[:most]
-        level = np.sort(ids[keep[fit[keep]]])
-        after = {}
-        for c in level.tolist():
-            up = node_of[c & ((1 << (8 * (k - 1))) - 1)]
-            edges.append((up, int(column[c >> (8 * (k - 1))]), nodes))
-            parent.append(up)
-            after[c] = nodes
-            nodes += 1
-        node_of = after
-    child = np.full((nodes, len(seen) + 1), -1, np.int32)
-    if edges:
-        a, b, n = np.array(edges).T
-        child[a, b] = n
-        child[:, -1] = -1
-    return Trie(column, first, child, np.array(parent, np.int64))
-
-
-def cell_counts(trie: Trie, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct cells, 256 node + byte, and how often each occurs; every byte counts at its longest context alone."""
-    data, sizes = laid_out(texts)
-    cells = trie.nodes_at(data) * 256 + data[ORDER:]
-    inside = np.ones(len(cells), bool)
-    starts = np.cumsum(sizes + ORDER)[:-1] - ORDER
-    inside[(starts[:, None] + np.arange(ORDER)).ravel()] = False  # the ENDs before the next text
-    return np.unique(cells[inside], return_counts=True)
+    suffix = F.expr(f"shiftright(gram, 8) & {(1 << (8 * (NEAR + 1))) - 1}")
+    return totals.select("gram", "n").repartition(suffix).mapInArrow(run, "gram long, logp float")
 
 
-@dataclass
-class Model:
-    """logp: [node, column], the last column for bytes that training never had; symbol: column by byte."""
-
-    trie: Trie
-    symbol: np.ndarray
-    logp: np.ndarray
-
-    def log10(self, texts: list[bytes]) -> np.ndarray:
-        """log10 of each text's probability, its end included."""
-        data, sizes = laid_out(texts)
-        value = self.logp[self.trie.nodes_at(data), self.symbol[data[ORDER:]]].astype(np.float64)
-        sums = np.concatenate(([0.0], np.cumsum(value)))
-        starts = np.cumsum(sizes + ORDER) - (sizes + ORDER)
-        return sums[starts + sizes] - sums[starts]
-
-
-def build(trie: Trie, cells: np.ndarray, counts: np.ndarray) -> Model:
-    """The folded table of a trie with counts of cells."""
-    alphabet = np.unique(np.concatenate([cells & 255, [END]])).astype(np.int64)
-    width, nodes = len(alphabet) + 1, len(trie.parent)
-    symbol = np.full(256, width - 1, np.int64)
-    symbol[alphabet] = np.arange(width - 1)
-    c = np.zeros((nodes, width), np.float32)
-    c[cells >> 8, symbol[cells & 255]] = counts
-    depth = np.zeros(nodes, np.int64)
-    for n in range(1, nodes):
-        depth[n] = depth[trie.parent[n]] + 1
-    levels = [np.flatnonzero(depth == k) for k in range(ORDER + 1)]
-    for at in reversed(levels[1:]):
-        np.add.at(c, trie.parent[at], c[at])
-    escaped, p = np.zeros((nodes, width), np.float32), np.zeros((nodes, width), np.float32)
-    for k, at in enumerate(levels):
-        here = c[at] > 0
-        if k == 0:
-            e = np.full((1, width), 1.0 / max(1, 256 - int(here.sum())), np.float32)
-        else:
-            up = trie.parent[at]
-            rest = np.where(here, 0, c[up])
-            t, d = rest.sum(1, keepdims=True), (rest > 0).sum(1, keepdims=True)
-            e = np.where(c[up] > 0, rest / np.maximum(1, t + d), np.where(d > 0, d / np.maximum(1, t + d), 1.0) * escaped[up])
-        t, d = c[at].sum(1, keepdims=True), here.sum(1, keepdims=True)
-        p[at] = np.where(here, c[at] / np.maximum(1, t + d), np.where(d > 0, d / np.maximum(1, t + d), 1.0) * e)
-        escaped[at] = e
-    return Model(trie, symbol, np.log10(np.maximum(p, 1e-30)))
-
-
-def summed(batches: Iterator[pa.RecordBatch], count: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """A partition's counts, added up slice by slice."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-        return keys, np.bincount(at, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
-
-    for batch in batches:
-        texts = raw_texts(batch.column(0))
-        for a, b in slices(texts):
-            held.append(count(texts[a:b]))
-            if len(held) == 8:
-                held[:] = [merged()]
-    if held:
-        keys, counts = merged()
-        for a in range(0, len(keys), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 50_000].astype(np.int64)), pa.array(counts[a : a + 50_000])], names=["key", "n"])
-
-
-def learn_ppm(docs: DataFrame, max_contexts: int = 12_000, sample_docs: int = 3000, key: str = "doc_id", text: str = "text") -> Model:
-    """A model of the texts of docs.
-
-    Contexts are those of about sample_docs documents, all of up to two bytes and the max_contexts most frequent of each
-    greater length: both numbers are parameters, and they bound the model that is broadcast. Counts are of all of docs.
-    """
-    counted = lambda df, f: df.select(text).mapInArrow(lambda b: summed(b, f), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    grams = counted(sampled(docs.select(key, text), key, sample_docs, 2), gram_counts)
-    trie = choose_contexts(grams.column("key").to_numpy(), grams.column("n").to_numpy(), max_contexts)
-    del grams
-    shared = docs.sparkSession.sparkContext.broadcast(trie)
-    cells = counted(docs, lambda texts: cell_counts(shared.value, texts))
-    return build(trie, cells.column("key").to_numpy(), cells.column("n").to_numpy())
+def by_part(rows: DataFrame, name: str) -> str:
+    """Path of rows as one Parquet folder for each part."""
+    path = fresh_path(rows.sparkSession, name)
+    rows.repartition("part").sortWithinPartitions("part").write.partitionBy("part").parquet(path)
+    passing(rows.sparkSession, path)
+    return path
 
 
-def token_counts(docs: DataFrame, text: str = "text", most: int = 400_000) -> DataFrame:
-    """token, c: how often each token occurs in docs; the empty token is the end of a text."""
+@contextmanager
+def same_partitions(spark: SparkSession):
+    """File scans are cut alike in here, however many cores come and go meanwhile."""
+    name = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, before or str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: Counter = Counter()
 
-        def out() -> pa.RecordBatch:
-            got = pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], names=["token", "n"])
-            count.clear()
-            return got
+def read_part(path: str, part: int, columns: list[str]) -> pa.Table:
+    """The rows of one part; none if it has no folder."""
+    store, root = fs.FileSystem.from_uri(path)
+    folder = f"{root}/part={part}"
+    if store.get_file_info(folder).type == fs.FileType.NotFound:
+        return pa.table({c: pa.array([], {"token": pa.binary(), "gram": pa.int64(), "c": pa.int64(), "logp": pa.float32()}[c]) for c in columns})
+    return pq.read_table(folder, filesystem=store, columns=columns, partitioning=None)
 
-        for batch in batches:
-            for raw in raw_texts(batch.column(0)):
-                count.update(raw.lower().split())
-                count[b""] += 1
-            if len(count) > most:
-                yield out()
-        if count:
-            yield out()
-
-    return docs.select(text).mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("c"))
-
-
-def frequent(totals: DataFrame, most: int) -> DataFrame:
-    """The rows of totals with c over a limit that at most most of them pass; found from counts by eighths of log2(c)."""
-    level = F.floor(F.log2("c") * 8)
-    least, n = None, 0
-    for r in sorted(totals.groupBy(level.alias("level")).count().collect(), reverse=True):
-        n += r["count"]
-        if n > most:
-            break
-        least = r.level
-    return totals.where(level >= least) if least is not None else totals.limit(0)
-
-
-def score(docs: DataFrame, train: DataFrame, model: Model, folds: int = 7, held: int = 2, key: str = "doc_id", text: str = "text", hot_tokens: int = HOT_TOKENS) -> DataFrame:
+
+def score_corpus(docs: DataFrame, folds: int = 7, held: int = 2, order: int = ORDER, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: key, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Texts are read where they are, never shuffled: a scan sums what the hot_tokens most frequent training tokens give and
-    hands on each row's other tokens, which are joined to their counts. A null text is empty: one token, the end.
-    Repeated rows count as often as they occur; an empty table gives an empty one; columns other than key and text are
-    not read. Very long texts are one row of a scan. Tokens of equal count are hot or not together.
+    The model is learned from the rows whose keyed remainder is not held. A null text is empty: one token, the end.
+    Repeated rows count as often as they occur; a null key counts as the empty text; an empty table gives an empty one;
+    columns other than key and text are not read. Very long texts are one row of a scan; a NUL byte counts as an end.
+    docs is scanned twice and must come out in the same partitions: a table does, and anything else is refused where a
+    partition holds what it did not hold before. The shared folder must be one that pyarrow opens.
     """
+    if not NEAR < order <= 7:
+        raise ValueError("an order of 3 to 7 bytes")
     spark = docs.sparkSession
-    totals = stored(token_counts(train, text), "tokens")
-    n_all, n_distinct = totals.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    floor = float(n_all + n_distinct + 1)
-    top = frequent(totals, hot_tokens).toArrow()
-    hot = spark.sparkContext.broadcast(dict(zip(top.column("token").to_pylist(), np.log10((top.column("c").to_numpy() + 1.0) / floor).tolist(), strict=True)))
-    shared = spark.sparkContext.broadcast(model)
-    made = [T.StructField("__row", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("__known", T.LongType()), T.StructField("__base", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("__cold", T.ArrayType(T.BinaryType()))]
-    schema = T.StructType([docs.schema[key], *made])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, get = TaskContext.get().partitionId() << 40, hot.value.get
-        for batch in batches:
-            texts = raw_texts(batch.column(1))
-            for a, b in slices(texts):
-                sizes, known, base, cold = [], [], [], []
-                for raw in texts[a:b]:
-                    words = raw.lower().split()
-                    words.append(b"")
-                    got = [get(w) for w in words]
-                    rest = [w for w, x in zip(words, got, strict=True) if x is None] if None in got else []
-                    sizes.append(len(words))
-                    known.append(len(words) - len(rest))
-                    base.append(sum(filter(None, got)))
-                    cold.append(rest)
-                rows = np.arange(row, row + b - a)
-                row += b - a
-                columns = [pa.array(rows), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(shared.value.log10(texts[a:b])), pa.array(cold, pa.list_(pa.binary()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns], names=schema.names)
-        trim()
-
-    scanned = stored(docs.select(key, text).mapInArrow(run, schema), "scored")
-    cold = scanned.select("__row", F.explode("__cold").alias("token")).join(totals, "token", "left")
-    term = F.log10((F.coalesce("c", F.lit(0)) + 1.0) / floor)
-    sums = cold.groupBy("__row").agg(F.sum(term).alias("__cold_base"), F.count("c").alias("__cold_known"))
-    out = scanned.drop("__cold").join(sums, "__row", "left")
-    return out.select(key, (crc_remainder(F.col(key), folds) == held).alias("held_out"), "n_tokens", (F.col("__known") + F.coalesce("__cold_known", F.lit(0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), (F.col("__base") + F.coalesce("__cold_base", F.lit(0.0))).alias("base_score"), "score")
-
-
-def score_corpus(docs: DataFrame, folds: int = 7, held: int = 2, key: str = "doc_id", text: str = "text", hot_tokens: int = HOT_TOKENS, **options) -> DataFrame:
-    """score() with what is learned from the rows whose keyed remainder is not held."""
-    train = docs.where(crc_remainder(F.col(key), folds) != held).select(key, text)
-    return score(docs, train, learn_ppm(train, key=key, text=text, **options), folds, held, key, text, hot_tokens)
+    with same_partitions(spark):
+        learned = crc_remainder(F.col(key), folds) != held
+        rows = stored(listed(docs.select(learned.alias("train"), F.col(text).alias("text")), order), "grams")
+        tokens, grams = rows.where("token is not null").select("part", "token", "n"), rows.where("token is null").select("part", "gram", "n")
+        n_all = tokens.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        near = grams.where("n > 0").groupBy(F.col("gram").bitwiseAND((1 << (8 * (NEAR + 1))) - 1).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
+        tables = subtables(near.column("gram").to_numpy(), near.column("n").to_numpy(), 0, NEAR, None)
+
+        # each of the two is dealt out once: for the sums, and for the join with them
+        dealt = tokens.repartition("token")
+        sums = dealt.groupBy("token").agg(F.sum("n").alias("c"), F.min(F.when(F.col("n") > 0, F.col("part"))).alias("home")).where("c > 0")
+        words = by_part(dealt.join(sums, "token").select("part", "token", "n", "c", (F.col("part") == F.col("home")).alias("first")), "words")
+        n_distinct = spark.read.schema("token binary, n long, c long, first boolean, part int").parquet(words).where("first").count() if n_all else 0
+        dealt = grams.repartition("gram")
+        model = chances(dealt.groupBy("gram").agg(F.sum("n").alias("n"), F.min("part").alias("home")), tables, order)
+        known = by_part(dealt.join(model, "gram").select("part", "gram", "n", "logp"), "chances")
+        floor = float(n_all + n_distinct + 1)
+        made = [T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())]
+        schema = T.StructType([docs.schema[key], *made])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part, own = TaskContext.get().partitionId(), None
+            for batch in batches:
+                if own is None:
+                    own = read_part(words, part, ["token", "c"]).combine_chunks(), read_part(known, part, ["gram", "logp"]).combine_chunks()
+                    token_set, gram_set = own[0].column("token").combine_chunks(), own[1].column("gram").combine_chunks()
+                    terms = np.append(np.log10((own[0].column("c").to_numpy() + 1.0) / floor), np.log10(1.0 / floor))
+                    logp = own[1].column("logp").to_numpy().astype(np.float64)
+                    end = pc.index_in(pa.array([END], pa.binary()), value_set=token_set)[0].as_py()
+                texts = raw_texts(batch.column(1))
+                for a, b in slices(texts):
+                    laid = laid_out(texts[a:b], order)
+                    word = pc.index_in(laid.words, value_set=token_set).fill_null(-1).to_numpy()
+                    gram = pc.index_in(pa.array(laid.grams), value_set=gram_set)
+                    if gram.null_count:
+                        raise ValueError("docs came out in other partitions the second time: pass a stored table")
+                    sizes = np.diff(laid.word_bounds)
+                    total = lambda x, bounds: np.diff(np.concatenate(([0.0], np.cumsum(x)))[bounds])
+                    columns = [sizes + 1, total(word >= 0, laid.word_bounds).astype(np.int64) + (end is not None), total(terms[word], laid.word_bounds) + terms[-1 if end is None else end], total(logp[gram.to_numpy()], laid.gram_bounds)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *map(pa.array, columns)], names=schema.names)
+            trim()
+
+        scored = stored(docs.select(key, F.col(text).alias("__text")).mapInArrow(run, schema), "scored")
+    return scored.select(key, (crc_remainder(F.col(key), folds) == held).alias("held_out"), "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
