@@ -1,10 +1,12 @@
 """SimHash near-duplicates (operator 8) by meet-in-the-middle ball hashing.
 
-Two fingerprints that differ in at most 4 of 64 bits differ in at most 2 bits of one half. So each half of a fingerprint
-emits all variants within 1 bit, half of that radius: two halves within 2 bits meet at some variant. That is 66 variants
-for a fingerprint instead of the 2,081 that the whole ball of radius 2 would have, with the same pairs found. Fingerprints
-are deduplicated first, variants are shuffled, colliding pairs are verified, and the links' components are found by
-star contractions. A variant of many fingerprints is split by the variants of its other half, which bounds every group.
+The 64 bits are taken in three parts. Of two fingerprints that differ in at most 4 bits, some two parts differ in at most 2
+bits together. So for each two parts, 42 or 43 bits, a fingerprint emits all variants within 1 bit, half of that radius:
+two that are within 2 bits meet at some variant. That is 131 variants for a fingerprint instead of the 2,081 of the whole
+ball of radius 2, with the same pairs found; by chance few meet, as there are 2**43 variants and more for each choice of
+parts. Fingerprints are deduplicated first, variants are shuffled, colliding pairs are verified, and the links'
+components are found by star contractions. A variant of many fingerprints is split by the variants of the part that it
+leaves out, which bounds every group.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollbook.llm.common import map_texts, stored
-from rollbook.llm.components import components
+from rollbook.llm.components import components, join_to_one
 
 #: Fingerprints of one variant that are compared with each other as they are; larger groups are split.
 DIRECT = 1024
@@ -64,49 +66,56 @@ def fingerprints(docs: DataFrame, keep: list[str], width: int = 4, text: str = "
     return map_texts(docs, keep, text, [T.StructField("fp", T.LongType())], lambda texts: [[signed(fingerprint(t, width)) for t in texts]])
 
 
-def ball(half: np.ndarray, radius: int) -> np.ndarray:
-    """All variants of 32-bit values within radius (0 to 2) bits, a row for each value."""
-    one = np.uint32(1) << np.arange(32, dtype=np.uint32)
-    masks = [np.zeros(1, np.uint32)]
+#: First bit and size of each part.
+PARTS = ((0, 22), (22, 21), (43, 21))
+
+
+def ball(values: np.ndarray, bits: int, radius: int) -> np.ndarray:
+    """All variants of values of so many bits within radius (0 to 2) bits, a row for each value."""
+    one = np.int64(1) << np.arange(bits, dtype=np.int64)
+    masks = [np.zeros(1, np.int64)]
     if radius >= 1:
         masks.append(one)
     if radius >= 2:
-        i, j = np.triu_indices(32, 1)
+        i, j = np.triu_indices(bits, 1)
         masks.append(one[i] | one[j])
-    return half[:, None] ^ np.concatenate(masks)[None, :]
+    return values[:, None] ^ np.concatenate(masks)[None, :]
 
 
-def halves(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    u = fp.view(np.uint64)
-    return (u & np.uint64(0xFFFFFFFF)).astype(np.uint32), (u >> np.uint64(32)).astype(np.uint32)
+def without(fp: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two other parts side by side, and the part itself."""
+    at, size = PARTS[part]
+    u, low = fp.view(np.uint64), np.uint64((1 << at) - 1)
+    return ((u >> np.uint64(at + size) << np.uint64(at) if at + size < 64 else u & np.uint64(0)) | u & low).astype(np.int64), (u >> np.uint64(at) & np.uint64((1 << size) - 1)).astype(np.int64)
 
 
 def variants(fps: DataFrame) -> DataFrame:
-    """fp with each variant of its halves within 1 bit; the variant's sign bit 32 tells the half."""
+    """fp with each variant within 1 bit of each two of its parts; from bit 60 on, a variant has the part left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for a in range(0, len(fp), 20_000):
-                part = fp[a : a + 20_000]
-                for k, half in enumerate(halves(part)):
-                    v = ball(half, 1).astype(np.int64) | (k << 32)
+            for a in range(0, len(fp), 10_000):
+                part = fp[a : a + 10_000]
+                for k, (_, size) in enumerate(PARTS):
+                    v = ball(without(part, k)[0], 64 - size, 1) | np.int64(k << 60)
                     yield pa.RecordBatch.from_arrays([pa.array(v.ravel()), pa.array(np.repeat(part, v.shape[1]))], names=["variant", "fp"])
 
     return fps.select("fp").mapInArrow(run, "variant long, fp long")
 
 
 def other_variants(rows: DataFrame) -> DataFrame:
-    """(variant, fp) rows by (variant, sub): sub is each variant of the other half within 2 bits."""
+    """(variant, fp) rows by (variant, sub): sub is each variant of the part left out within 2 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             variant, fp = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-            for a in range(0, len(fp), 2000):
-                low, high = halves(fp[a : a + 2000])
-                sub = ball(np.where(variant[a : a + 2000] >> 32 == 0, high, low), 2).astype(np.int64)
-                n = sub.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(variant[a : a + 2000], n)), pa.array(sub.ravel()), pa.array(np.repeat(fp[a : a + 2000], n))], names=["variant", "sub", "fp"])
+            for a in range(0, len(fp), 4000):
+                for k, (_, size) in enumerate(PARTS):
+                    own = variant[a : a + 4000] >> 60 == k
+                    v, f = variant[a : a + 4000][own], fp[a : a + 4000][own]
+                    sub = ball(without(f, k)[1], size, 2)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(v, sub.shape[1])), pa.array(sub.ravel()), pa.array(np.repeat(f, sub.shape[1]))], names=["variant", "sub", "fp"])
 
     return rows.select("variant", "fp").mapInArrow(run, "variant long, sub long, fp long")
 
@@ -190,11 +199,11 @@ def links(fps: DataFrame, radius: int = RADIUS, direct: int = DIRECT) -> DataFra
     """Links (a, b) between distinct fingerprints that differ in at most radius (at most 4) bits.
 
     The links connect the same fingerprints as all such pairs do. Variants are shuffled once and scanned in order. One
-    of up to direct fingerprints is compared within; beyond, it is split by the other half's variants within 2 bits,
-    and then a group has at most 33 x 529 distinct fingerprints.
+    of up to direct fingerprints is compared within; beyond, it is split by the variants within 2 bits of the part that it
+    leaves out, and then a group has at most 44 x 254 distinct fingerprints.
     """
     if not 0 <= radius <= 4:
-        raise ValueError("balls of 1 bit by half meet up to a radius of 4")
+        raise ValueError("variants of 1 bit of two parts meet up to a radius of 4")
     sorted_rows = variants(fps).repartition("variant").sortWithinPartitions("variant", "fp")
     met = stored(sorted_rows.mapInArrow(lambda batches: scanned(batches, radius, direct), "variant long, a long, b long"), "met")
     out = met.where("b is not null").select("a", "b")
@@ -204,13 +213,15 @@ def links(fps: DataFrame, radius: int = RADIUS, direct: int = DIRECT) -> DataFra
     return out.distinct()
 
 
-def labelled(marked: DataFrame, radius: int, key: str) -> DataFrame:
-    """fp, root (least fingerprint of its component), component_id (least key of its component) of each fingerprint."""
-    classes = stored(marked.groupBy("fp").agg(F.min(key).alias("least")), "classes")
-    of = components(stored(links(classes, radius), "links"), "a", "b")
-    roots = classes.join(of.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    return roots.join(least, "root").select("fp", "root", "component_id")
+def labelled(marked: DataFrame, radius: int) -> DataFrame:
+    """fp, root (least fingerprint of its component), component_id (least key of its component); marked has key and fp."""
+    classes = stored(marked.groupBy("fp").agg(F.min("key").alias("least")), "classes")
+    of = stored(components(stored(links(classes, radius), "links"), "a", "b").withColumnRenamed("node", "fp"), "components")
+    members = of.join(classes, "fp")
+    least = members.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("__n"))
+    joined = join_to_one(members, least, "root", of.count()).select("fp", "root", "component_id")
+    single = classes.join(of, "fp", "left_anti").select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
+    return joined.unionAll(single)
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -221,9 +232,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = 4, key:
     component. An empty table gives an empty one; other columns are not read. The last join is on the fingerprint, of
     which each label is one row; the rows of a fingerprint that very many texts share are split by Spark's skew join.
     """
-    marked = stored(fingerprints(docs, [key], width, text), "fingerprints")
-    labels = labelled(marked, radius, key).drop("root")
-    return marked.join(labels, "fp").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    marked = stored(fingerprints(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), ["key"], width, "text"), "fingerprints")
+    found = marked.join(labelled(marked, radius), "fp")
+    return found.select(F.col("key").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS, width: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -231,14 +242,15 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, width: int = 4, key: str
 
     A row is told by its key and its text's hash, as keys may repeat over unlike texts. Only these and fingerprints go
     through the search. Rows without a key stay only where their component has no row with one, and then one of them.
-    All columns are kept, whatever their names.
+    Null and empty texts are one text; an empty table gives an empty one. All columns are kept, whatever their names: a
+    row travels as one structure beside names that are this function's own.
     """
-    names, own = docs.columns, F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    marked = stored(fingerprints(docs.select(key, text, own.alias("__hash")), [key, "__hash"], width, text), "fingerprints")
-    roots = labelled(marked, radius, key).select("fp", "root")
-    order = F.struct(F.col(key).isNull().alias("bare"), F.col(key).alias("key"), F.col("__hash").alias("hash"))
+    own = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    marked = stored(fingerprints(docs.select(F.col(key).alias("key"), own.alias("hash"), F.col(text).alias("text")), ["key", "hash"], width, "text"), "fingerprints")
+    order = F.struct(F.col("key").isNull().alias("bare"), "key", "hash")
     firsts = marked.groupBy("fp").agg(F.min(order).alias("first"))
-    heads = stored(firsts.join(roots, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("__key"), F.col("first.hash").alias("__head")), "heads")
-    turn = Window.partitionBy(key, own).orderBy(own)
-    same = F.col(key).eqNullSafe(F.col("__key")) & (own == F.col("__head"))
-    return docs.join(heads, same, "left_semi").select("*", F.row_number().over(turn).alias("__turn")).where("__turn = 1").select(*names)
+    heads = stored(firsts.join(labelled(marked, radius), "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("head"), F.col("first.hash").alias("head_hash")), "heads")
+    rows = docs.select(F.col(key).alias("key"), own.alias("hash"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    same = F.col("key").eqNullSafe(F.col("head")) & (F.col("hash") == F.col("head_hash"))
+    turn = Window.partitionBy("key", "hash").orderBy("hash")
+    return rows.join(heads, same, "left_semi").withColumn("turn", F.row_number().over(turn)).where("turn = 1").select("row.*")

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -59,8 +60,24 @@ def test_spark_hash_is_the_same(spark):
 
 
 def test_ball_sizes():
-    assert simhash.ball(np.array([5], np.uint32), 1).shape == (1, 33)
-    assert len(set(simhash.ball(np.array([5], np.uint32), 2)[0].tolist())) == 529
+    assert simhash.ball(np.array([5]), 43, 1).shape == (1, 44)
+    assert len(set(simhash.ball(np.array([5]), 22, 2)[0].tolist())) == 254
+
+
+def test_parts_make_up_a_fingerprint():
+    r = random.Random(9)
+    for _ in range(200):
+        x = r.getrandbits(64)
+        for k, (at, size) in enumerate(simhash.PARTS):
+            rest, own = (int(v[0]) for v in simhash.without(np.array([simhash.signed(x)], np.int64), k))
+            assert own == x >> at & (1 << size) - 1
+            assert rest >> at << (at + size) | own << at | rest & (1 << at) - 1 == x
+
+
+def test_any_two_within_four_bits_meet():
+    """Any 1 to 4 bits: some choice of two parts has at most 2 of them."""
+    for bits in itertools.combinations(range(0, 64, 3), 4):
+        assert min(sum(not at <= b < at + size for b in bits) for at, size in simhash.PARTS) <= 2
 
 
 def check_links(spark, fps, direct):
@@ -104,3 +121,46 @@ def test_one_of_each_keeps_unlike_texts_of_one_key(spark):
     rows = [(5, "a b c d e"), (5, "wholly other words are here now"), (5, "a third text of its own"), (2, "a b c d e"), (5, "a third text of its own"), (None, "a b c d e"), (9, None), (9, "")]
     got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.text or "") for r in got) == [(2, "a b c d e"), (5, "a third text of its own"), (5, "wholly other words are here now"), (9, "")]
+
+
+def test_clashing_names(spark):
+    rows = [(7, "a b c d e", 1), (3, "a b c d e", 2), (None, "wholly other words are here now", 3), (None, "wholly other words are here now", 4)]
+    for names in (("doc_id", "text", "__turn"), ("doc_id", "text", "fp"), ("fp", "text", "key"), ("key", "hash", "row"), ("root", "fp", "component_id"), ("turn", "a.b", "head")):
+        df = spark.createDataFrame(rows, f"`{names[0]}` long, `{names[1]}` string, `{names[2]}` long")
+        text = f"`{names[1]}`"
+        got = simhash.one_of_each(df, key=names[0], text=text)
+        assert got.columns == list(names)
+        assert sorted((r[0] or -1, r[1]) for r in got.collect()) == [(-1, "wholly other words are here now"), (3, "a b c d e")]
+        assert simhash.near_duplicates(df, key=names[0], text=text).count() == 4
+
+
+def test_components_of_hubs_and_paths(spark):
+    """Stars over the limit, a long path and a clique: roots as by union-find, hot nodes and others alike."""
+    links = [(0, k) for k in range(1, 3000)] + [(k, k + 1) for k in range(5000, 5100)] + [(a, b) for a in range(9000, 9012) for b in range(a)if b >= 9000] + [(2999, 20_000)] + [(20_000, k) for k in range(20_001, 22_500)] + [(4, 4)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
+    root = {x: x for e in links for x in e}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    assert got == {x: find(x) for x in root}
+    assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_query_matches_a_slow_version(spark):
+    from rollbook.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    rows = {r.doc_id: slow_fingerprint(r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    root = slow_components(sorted(set(rows.values())), 4)
+    least: dict = {}
+    for d in sorted(rows):
+        least.setdefault(root[rows[d]], d)
+    got = {(r.doc_id, r.fingerprint, r.component_id) for r in queries.op8_simhash(spark, sf).collect()}
+    assert got == {(d, f"{f:016x}", least[root[f]]) for d, f in rows.items()}
