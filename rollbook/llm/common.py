@@ -72,12 +72,12 @@ def trim() -> None:
         pass
 
 
-def slices(texts: list) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about SLICE_BYTES each."""
+def slices(texts: list, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about most bytes each."""
     start = size = 0
     for i, t in enumerate(texts):
         size += len(t)
-        if size >= SLICE_BYTES:
+        if size >= most:
             yield start, i + 1
             start, size = i + 1, 0
     if start < len(texts):

@@ -33,6 +33,8 @@ from rollbook.llm.common import SPACE, crc_remainder, fresh_path, passing, raw_t
 ORDER = 5
 #: Contexts of so many bytes and fewer are known everywhere: at most 256**3 grams; longer ones by these last bytes.
 NEAR = 2
+#: Bytes of texts laid out at a time: a few dozen bytes of numbers stand for each.
+BLOCK = 2 << 20
 END = b""  # the token that ends a text; the byte is 0
 LOWERED = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 IS_SPACE = np.isin(np.arange(256), list(SPACE))
@@ -146,7 +148,7 @@ def listed(docs: DataFrame, order: int) -> DataFrame:
         words, grams = Tally(pa.binary()), Tally(pa.int64())
         for batch in batches:
             texts, learned = raw_texts(batch.column(1)), batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
-            for a, b in slices(texts):
+            for a, b in slices(texts, BLOCK):
                 laid, train = laid_out(texts[a:b], order), learned[a:b]
                 ends += int(train.sum())
                 words.add(laid.words, np.repeat(train, np.diff(laid.word_bounds)))
@@ -257,7 +259,7 @@ def score_corpus(docs: DataFrame, folds: int = 7, held: int = 2, order: int = OR
                     logp = own[1].column("logp").to_numpy().astype(np.float64)
                     end = pc.index_in(pa.array([END], pa.binary()), value_set=token_set)[0].as_py()
                 texts = raw_texts(batch.column(1))
-                for a, b in slices(texts):
+                for a, b in slices(texts, BLOCK):
                     laid = laid_out(texts[a:b], order)
                     word = pc.index_in(laid.words, value_set=token_set).fill_null(-1).to_numpy()
                     gram = pc.index_in(pa.array(laid.grams), value_set=gram_set)
