@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollbook.llm.common import SPACE, filter_texts, map_texts, sampled
+from rollbook.llm.common import SPACE, filter_texts, gathered, map_texts, sampled
 
 BITS = 16
 #: Class of each byte for coarse n-grams: shapes of words rather than words.
@@ -26,6 +26,14 @@ LABELLERS = ("symbols", "capitals", "fields", "marks", "repeats", "stutter", "le
 
 
 MIN_WORDS = 30
+#: Words among which a repeated one counts: whatever a text's length, so many at a time.
+NEARBY = 64
+
+
+def repeats(words: list[bytes]) -> float:
+    """Share of the words that stand once more among the NEARBY words that they are taken with."""
+    distinct = sum(len(set(words[i : i + NEARBY])) for i in range(0, len(words), NEARBY))
+    return 1 - distinct / len(words) if words else 0.0
 
 
 def stutters(words: list[bytes]) -> int:
@@ -45,7 +53,7 @@ def votes(raw: bytes) -> list[int]:
     alone = raw.count(b" | ") / k
     ends = int(count[list(STOPS)].sum())
     lines = [x for x in raw.split(b"\n") if x.strip()]
-    repeat = 1 - len(set(words)) / k
+    repeat = repeats(words)
     letters = (low + up + int(count[0x80:].sum())) / n
     short = k < MIN_WORDS
     by = lambda x, fine, junk: 1 if x <= fine else -1 if x >= junk else 0
@@ -54,7 +62,7 @@ def votes(raw: bytes) -> list[int]:
         by(up / max(1, low + up), 0.10, 0.40),
         by(alone, 0.02, 0.15),
         by(int(count[33]) / k, 0.05, 0.30),
-        0 if short else -1 if repeat >= 0.85 and k < 2000 or len(lines) >= 4 and len(set(lines)) * 2 <= len(lines) else 1 if repeat <= 0.6 else 0,
+        0 if short else -1 if repeat >= 0.6 or len(lines) >= 4 and len(set(lines)) * 2 <= len(lines) else 1 if repeat <= 0.3 else 0,
         0 if short else by(stutters(words) / k, 0.05, 0.30),
         0 if short else 1 if letters >= 0.93 else -1 if letters <= 0.80 else 0,
         0 if short else 1 if 3 <= k / max(1, ends) <= 40 else -1 if k / max(1, ends) > 80 else 0,
@@ -135,11 +143,12 @@ class QualityModel:
     junk_share: float
 
 
-def learn_quality(docs: DataFrame, sample_docs: int = 5000, key: str = "doc_id", text: str = "text") -> QualityModel:
-    """Labeller accuracies from all documents' votes, the scorer from about sample_docs of them (a parameter).
+def learn_quality(docs: DataFrame, sample_docs: int = 5000, sample_bytes: int = 96 << 20, key: str = "doc_id", text: str = "text") -> QualityModel:
+    """Labeller accuracies from all documents' votes, the scorer from about sample_docs of them, sample_bytes of features.
 
-    The driver gets a count for each pattern of votes, of which there are 3**9 at most, and the sample's feature counts.
-    An empty table gives a scorer that calls everything fine.
+    Both bounds are parameters. The driver gets a count for each pattern of votes, of which there are 3**9 at most, and the
+    sample's feature counts. Null texts vote like empty ones, null keys and repeated rows are taken as they are. An empty
+    table gives a scorer that calls everything fine.
     """
     voted = map_texts(docs, [key], text, [T.StructField("pattern", T.StringType())], lambda texts: [[",".join(map(str, votes(t))) for t in texts]])
     rows = sorted((r[0], r[1]) for r in voted.groupBy("pattern").count().collect())
@@ -155,9 +164,11 @@ def learn_quality(docs: DataFrame, sample_docs: int = 5000, key: str = "doc_id",
         return [[",".join(map(str, votes(t))) for t in texts], [at.astype("<u2").tobytes() for at, _ in made], [x.astype("<f4").tobytes() for _, x in made]]
 
     picked = sampled(docs.select(key, text), key, sample_docs, 3)
-    found = map_texts(picked, [key], text, [T.StructField("pattern", T.StringType()), T.StructField("at", T.BinaryType()), T.StructField("x", T.BinaryType())], work).limit(2 * sample_docs).collect()
-    found.sort(key=lambda r: (str(r[0]), r.at, r.x))
-    examples = [(np.frombuffer(r.at, "<u2").astype(np.int64), np.frombuffer(r.x, "<f4").astype(float), of.get(r.pattern, share)) for r in found]
+    made = map_texts(picked, [key], text, [T.StructField("pattern", T.StringType()), T.StructField("at", T.BinaryType()), T.StructField("x", T.BinaryType())], work)
+    found = gathered(made.select(F.col(key).cast("string").alias("key"), "pattern", "at", "x"), F.length("at") + F.length("x"), sample_bytes, 3)
+    found = found.sort_by([(c, "ascending") for c in ("key", "at", "x")])
+    columns = [found.column(c).to_pylist() for c in ("pattern", "at", "x")]
+    examples = [(np.frombuffer(at, "<u2").astype(np.int64), np.frombuffer(x, "<f4").astype(float), of.get(p, share)) for p, at, x in zip(*columns, strict=True)]
     mass = max(1e-6, sum(y for _, _, y in examples) / max(1, len(examples)))
     weight = min(8.0, max(1.0, (1 - mass) / mass / 2))  # the rarer junk counts more
     return QualityModel(fit([(a, x, y, weight * y + 1 - y) for a, x, y in examples]), {n: (float(table[j, 1, 0]), float(table[j, 0, 1])) for j, n in enumerate(LABELLERS)}, share)

@@ -210,3 +210,40 @@ def test_very_long_text(spark):
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     r = qr.quality_rules(df, qr.UNTRAINED).first()
     assert (r.n_words, r.n_dup_lines, r.kept) == (9 * 60_000, 0, False) and r.n_repeat_words > 0
+
+
+def slow_junk(scorer, raw):
+    """The linear scorer feature by feature."""
+    if len(raw) < 3:
+        return 1 / (1 + np.exp(-scorer.bias))
+    shape = [int(qc.SHAPE[b]) for b in raw]
+    features = [(a * 1024 + b * 32 + c) % 0x7FFF for a, b, c in zip(shape, shape[1:], shape[2:])]
+    features += [((((a << 8 | b) * 2654435761) & 0xFFFFFFFF) >> 17) + (1 << 15) for a, b in zip(raw, raw[1:])]
+    words = raw.split()
+    features += [qc.STUTTER] * 5 * sum(a == b for a, b in zip(words, words[1:]))
+    x = scorer.bias + 40 / len(raw) * sum(float(scorer.weights[f]) for f in features)
+    return 1 / (1 + np.exp(-min(35, max(-35, x))))
+
+
+def test_classifier_query_matches_a_slow_version(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = qc.learn_quality(docs)
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    got = queries.op3_quality(spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        fine = 1 - slow_junk(model.scorer, texts[r.doc_id])
+        assert abs(r.score - fine) < 1e-4 and r.kept == (r.score >= 0.5)
+
+
+def test_repetition_is_judged_alike_at_any_length():
+    r = random.Random(2)
+    words = [f"word{k}" for k in range(300)]
+    prose, junk = lambda n: " ".join(r.choice(words) for _ in range(n)), lambda n: " ".join(r.choice(words[:3]) for _ in range(n))
+    at = qc.LABELLERS.index("repeats")
+    for n in (60, 500, 5000, 50_000):
+        assert qc.votes(junk(n).encode())[at] == -1 and qc.votes(prose(n).encode())[at] == 1
+    a = ["x", "y", "x", "z"] * 40
+    assert qc.repeats([w.encode() for w in a]) == pytest.approx(1 - (3 + 3 + 3) / 160)
+    assert qc.repeats([]) == 0
