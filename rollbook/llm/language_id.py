@@ -1,8 +1,9 @@
 """Language identification (operator 1): a bidirectional gated recurrent network over bytes, in numpy.
 
 Every byte of a text is an input and gets class probabilities; a document's probabilities are the mean over its letters.
-A text is read in windows of WINDOW bytes, whose states start at zero, in both directions: windows of many documents go
-through the network side by side. The cell has a gate z and a candidate c, both from the byte and the state before:
+A text is read in windows of WINDOW bytes with MARGIN more on either side, in both directions: states start in the
+margins, so that every byte is labelled by states that have read MARGIN bytes and more on both sides of it, or all that the
+text has there. Windows of many documents go through the network side by side. The cell has a gate z and a candidate c, both from the byte and the state before:
 h' = h + z (c - h), z = clip(a/4 + 1/2, 0, 1), c = b / (1 + |b|). Training is backpropagation through time.
 """
 
@@ -15,11 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollbook.llm.common import crc_remainder, map_texts
+from rollbook.llm.common import crc_remainder, gathered, map_texts
 
-WINDOW = 64
+#: Labelled bytes of a window, and bytes read before and after them.
+WINDOW, MARGIN = 128, 24
 HIDDEN = 8
-LANES = 2048  # windows side by side
+LANES = 1024  # windows side by side
 LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 or b >= 0x80 for b in range(256)])
 
 
@@ -84,13 +86,14 @@ def class_scores(net: Network, states: tuple[np.ndarray, np.ndarray]) -> np.ndar
     return s
 
 
-def gradients(net: Network, codes: np.ndarray, label: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Cross-entropy over the letters of codes [time, lane] with a label for each lane, and its gradients."""
+def gradients(net: Network, codes: np.ndarray, label: np.ndarray, margin: int = 0) -> tuple[float, dict[str, np.ndarray]]:
+    """Cross-entropy over the letters of codes [time, lane] inside the margins, with a label for each lane, and its gradients."""
     steps, lanes = codes.shape
     kept: tuple[list, list] = ([], [])
     states = tuple(run_direction(net, d, codes, kept[d]) for d in (0, 1))
     p = class_scores(net, states).reshape(steps, lanes, -1)
     weight = LETTER[codes].astype(np.float32)
+    weight[:margin] = weight[steps - margin :] = 0
     weight /= max(1.0, weight.sum())
     chosen = np.take_along_axis(p, np.broadcast_to(label[None, :, None], (steps, lanes, 1)), 2)[..., 0]
     loss = float(-(weight * np.log(chosen + 1e-9)).sum())
@@ -117,16 +120,17 @@ def gradients(net: Network, codes: np.ndarray, label: np.ndarray) -> tuple[float
 
 
 def windows(raw: bytes) -> np.ndarray:
-    """A text's bytes as rows of WINDOW, the last filled up with zero bytes."""
+    """A text's bytes as rows of MARGIN, WINDOW and MARGIN bytes, each WINDOW further on; zero bytes stand around the text."""
     n = -(-len(raw) // WINDOW)
-    return np.frombuffer(raw.ljust(n * WINDOW, b"\0"), np.uint8).reshape(n, WINDOW)
+    padded = np.frombuffer(bytes(MARGIN) + raw.ljust(n * WINDOW + MARGIN, b"\0"), np.uint8)
+    return np.lib.stride_tricks.sliding_window_view(padded, WINDOW + 2 * MARGIN)[::WINDOW] if n else np.zeros((0, WINDOW + 2 * MARGIN), np.uint8)
 
 
-def train(texts: list[tuple[bytes, str]], steps: int = 220, lanes: int = 192, rate: float = 0.02, seed: int = 7) -> Network:
+def train(texts: list[tuple[bytes, str]], steps: int = 220, lanes: int = 96, rate: float = 0.02, seed: int = 7) -> Network:
     """A network from (text, language) pairs by Adam, every language drawn equally often."""
     languages = sorted({lang for _, lang in texts})
     net = Network.random(languages, seed)
-    pools = [w[(LETTER[w]).any(axis=1)] for w in (np.concatenate([windows(t) for t, x in texts if x == lang] or [np.zeros((0, WINDOW), np.uint8)]) for lang in languages)]
+    pools = [w[LETTER[w[:, MARGIN : MARGIN + WINDOW]].any(axis=1)] for w in (np.concatenate([windows(t) for t, x in texts if x == lang]) for lang in languages)]
     usable = [k for k, p in enumerate(pools) if len(p)]
     if len(usable) < 2:
         return net
@@ -136,7 +140,7 @@ def train(texts: list[tuple[bytes, str]], steps: int = 220, lanes: int = 192, ra
     for step in range(1, steps + 1):
         label = np.array(usable)[r.integers(0, len(usable), lanes)]
         codes = np.stack([pools[k][r.integers(0, len(pools[k]))] for k in label]).T.astype(np.intp)
-        _, g = gradients(net, codes, label)
+        _, g = gradients(net, codes, label, MARGIN)
         norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
         for n in Network.NAMES:
             x = g[n] * np.float32(min(1.0, 1.0 / (norm + 1e-9)))
@@ -149,17 +153,22 @@ def train(texts: list[tuple[bytes, str]], steps: int = 220, lanes: int = 192, ra
 
 def document_scores(net: Network, texts: list[bytes]) -> np.ndarray:
     """Mean class probabilities over the letters of each text, [text, class]; zeros for a text without one."""
-    parts = [windows(t) for t in texts]
-    owner = np.repeat(np.arange(len(texts)), [len(p) for p in parts])
+    counts = np.array([-(-len(t) // WINDOW) for t in texts])
+    owner = np.repeat(np.arange(len(texts)), counts)
     total, letters = np.zeros((len(texts), len(net.languages))), np.zeros(len(texts))
     if not len(owner) or not net.languages:
         return total
-    rows = np.concatenate(parts)
-    for a in range(0, len(rows), LANES):
-        codes = np.ascontiguousarray(rows[a : a + LANES].T).astype(np.intp)
-        p = class_scores(net, (run_direction(net, 0, codes), run_direction(net, 1, codes)))
-        weight = LETTER[codes].astype(np.float32)
-        by_window = np.einsum("tl,tlk->lk", weight, p.reshape(*codes.shape, -1))
+    joined = b"".join([bytes(MARGIN) + t.ljust(n * WINDOW + MARGIN, b"\0") for t, n in zip(texts, counts.tolist(), strict=True)])
+    rows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(joined, np.uint8), WINDOW + 2 * MARGIN)
+    begin = np.cumsum(counts * WINDOW + 2 * MARGIN) - (counts * WINDOW + 2 * MARGIN)
+    first = np.cumsum(counts) - counts
+    at = begin[owner] + (np.arange(len(owner)) - first[owner]) * WINDOW
+    inside = slice(MARGIN, MARGIN + WINDOW)
+    for a in range(0, len(at), LANES):
+        codes = np.ascontiguousarray(rows[at[a : a + LANES]].T).astype(np.intp)
+        forward, backward = run_direction(net, 0, codes)[inside], run_direction(net, 1, codes)[inside]
+        p, weight = class_scores(net, (forward, backward)), LETTER[codes[inside]].astype(np.float32)
+        by_window = np.einsum("tl,tlk->lk", weight, p.reshape(*weight.shape, -1))
         np.add.at(total, owner[a : a + LANES], by_window)
         np.add.at(letters, owner[a : a + LANES], weight.sum(axis=0))
     return total / np.maximum(letters, 1)[:, None]
@@ -170,19 +179,20 @@ def has_letter(raw: bytes) -> bool:
     return bool(raw) and (any(c in raw for c in b"etaoinsr") or any(map(str.isalpha, raw.decode("utf-8", "replace"))))
 
 
-def learn_languages(docs: DataFrame, per_language: int = 120, key: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 5) -> Network:
-    """A network from about per_language documents (a parameter) of each language, outside the fold of remainder 0.
+def learn_languages(docs: DataFrame, per_language: int = 120, sample_bytes: int = 32 << 20, key: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 5) -> Network:
+    """A network from about per_language documents of each language outside the fold of remainder 0, sample_bytes of text.
 
-    Which documents are drawn depends on a hash of the key alone. Rows without text, language or key are not learned from.
+    Both bounds are parameters. Which documents are drawn depends on hashes of the key and the text alone. Rows without
+    text or language are not learned from; a null key counts as the empty text; repeated rows may be drawn together.
     """
-    known = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (crc_remainder(F.col(key), folds) != 0)).select(key, text, lang)
-    counts = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}
-    chance = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(11)), F.lit(1 << 30))
+    known = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (crc_remainder(F.col(key), folds) != 0)).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"))
+    counts = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
+    chance = F.pmod(F.xxhash64("key", "text", F.lit(11)), F.lit(1 << 30))
     share = F.lit(0)
     for name, n in counts.items():
-        share = F.when(F.col(lang) == name, int(min(1.0, per_language / n) * (1 << 30))).otherwise(share)
-    drawn = known.where(chance < share).select(text, lang).limit(2 * per_language * max(1, len(counts))).collect()
-    return train(sorted((r[0].encode("utf-8", "replace"), r[1]) for r in drawn))
+        share = F.when(F.col("lang") == name, int(min(1.0, per_language / n) * (1 << 30))).otherwise(share)
+    drawn = gathered(known.where(chance < share).select("text", "lang"), F.octet_length("text"), sample_bytes, 11).to_pylist()
+    return train(sorted((r["text"].encode("utf-8", "replace"), r["lang"]) for r in drawn))
 
 
 def identify(docs: DataFrame, net: Network, key: str = "doc_id", text: str = "text", folds: int = 5) -> DataFrame:
