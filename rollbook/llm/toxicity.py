@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollbook.llm.common import crc_remainder, map_texts, raw_texts, sampled
+from rollbook.llm.common import crc_remainder, gathered, map_texts, raw_texts, sampled
 from rollbook.llm.hashing import grams, word_hashes
 
 BITS = 20
@@ -69,12 +69,12 @@ def features(texts: list[bytes]) -> list[np.ndarray]:
     return [grams(words[a:b], BITS) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-def learn_toxicity(docs: DataFrame, labels: DataFrame, sample_docs: int = 6000, folds: int = 5, key: str = "doc_id", text: str = "text", label: str = "toxic") -> SparseModel:
-    """A model from about sample_docs (a parameter) labelled documents outside the fold of remainder 0.
+def learn_toxicity(docs: DataFrame, labels: DataFrame, sample_docs: int = 6000, sample_bytes: int = 96 << 20, folds: int = 5, key: str = "doc_id", text: str = "text", label: str = "toxic") -> SparseModel:
+    """A model from about sample_docs labelled documents outside the fold of remainder 0, sample_bytes of features.
 
-    Features are made on the executors; what comes to the driver are feature numbers of the sample. Rows of labels
-    without key or label don't count; a key with several labels takes the greatest. Without both labels every score is
-    the labels' mean, one half if there is none.
+    Both bounds are parameters. Features are made on the executors; what comes to the driver are feature numbers of the
+    sample. Rows of labels without key or label don't count; a key with several labels takes the greatest; a repeated
+    document counts as often as it occurs. Without both labels every score is the labels' mean, one half if there is none.
     """
     marked = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & (crc_remainder(F.col(key), folds) != 0))
     picked = sampled(marked.groupBy(key).agg(F.max(label).cast("int").alias("__label")), key, sample_docs, 9)
@@ -86,9 +86,9 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, sample_docs: int = 6000,
                 rows = [x.astype("<i4").tobytes() for x in features(raw_texts(part.column(1)))]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), part.column(2), pa.array(rows, pa.binary())], names=["id", "label", "features"])
 
-    found = docs.select(key, text).join(F.broadcast(picked), key).select(key, text, "__label").mapInArrow(run, "id string, label int, features binary").limit(2 * sample_docs)
-    rows = sorted(found.collect(), key=lambda r: (r.id, r.features))
-    examples = [(np.frombuffer(r.features, "<i4").astype(np.int64), r.label) for r in rows]
+    made = docs.select(key, text).join(F.broadcast(picked), key).select(key, text, "__label").mapInArrow(run, "id string, label int, features binary")
+    found = gathered(made, F.length("features"), sample_bytes, 9).sort_by([("id", "ascending"), ("features", "ascending")])
+    examples = [(np.frombuffer(x, "<i4").astype(np.int64), y) for x, y in zip(found.column("features").to_pylist(), found.column("label").to_pylist(), strict=True)]
     seen = {y for _, y in examples}
     if len(seen) < 2:
         return SparseModel(0.0 if not seen else 4.0 * (2 * seen.pop() - 1), np.zeros(0, np.int64), np.zeros(0, np.float32))
