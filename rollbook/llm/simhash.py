@@ -204,7 +204,8 @@ def links(fps: DataFrame, radius: int = RADIUS, direct: int = DIRECT) -> DataFra
     """
     if not 0 <= radius <= 4:
         raise ValueError("variants of 1 bit of two parts meet up to a radius of 4")
-    sorted_rows = variants(fps).repartition("variant").sortWithinPartitions("variant", "fp")
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a row becomes 131: adaptive execution would see but a few tasks' worth
+    sorted_rows = variants(fps.repartition(tasks, "fp")).repartition("variant").sortWithinPartitions("variant", "fp")
     met = stored(sorted_rows.mapInArrow(lambda batches: scanned(batches, radius, direct), "variant long, a long, b long"), "met")
     out = met.where("b is not null").select("a", "b")
     large = met.where("b is null").select("variant", F.col("a").alias("fp"))
