@@ -103,9 +103,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     suspects = hits.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
     if suspects.count() <= MOST_ROWS:
         suspects = F.broadcast(suspects)
-    again = columns.join(suspects, F.col("id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left_semi").dropDuplicates(["id", "text_hash"])
-    pairs = hits.join(again.withColumnsRenamed({"id": "__id", "text_hash": "__hash", "words": "doc"}), F.col("id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))).join(classes, "class")
-    along = pairs.select("id", "text_hash", "class", F.expr("transform(words, (w, j) -> cast(w <=> get(doc, j + diagonal) as int))").alias("same"))
+    same_row = F.col("id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))
+    texts = docs.select(F.col(key).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), F.col(text).alias("text"))
+    again = stored(texts.join(suspects, same_row, "left_semi").dropDuplicates(["id", "text_hash"]).select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), word_hashes(F.col("text")).alias("doc")), "suspects")
+    pairs = hits.join(again, same_row).join(classes, "class")
+    beside = F.expr("slice(doc, greatest(diagonal, 0) + 1, size(words))")  # of the document's words those that lie beside the item's
+    along = pairs.select("id", "text_hash", "class", "words", F.expr("least(diagonal, 0)").alias("shift"), beside.alias("part"))
+    along = along.select("id", "text_hash", "class", F.expr("transform(words, (w, j) -> cast(w <=> get(part, j + shift) as int))").alias("same"))
     n, need = f"least({window}, size(same))", f"ceil({share} * least({window}, size(same)))"
     full = along.where(F.expr(f"exists(sequence(0, size(same) - {n}), s -> aggregate(slice(same, s + 1, {n}), 0, (a, x) -> a + x) >= {need})"))
     best = full.groupBy("id", "text_hash", "class").agg(F.max(F.expr("aggregate(same, 0, (a, x) -> a + x)")).cast("long").alias("matched"))
