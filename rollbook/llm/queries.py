@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rollbook.llm import decontamination, language_id, lm_scoring, packing, quality_classifier, quality_rules, secrets, simhash, token_files, toxicity
+from rollbook.llm import decontamination, language_id, lm_scoring, oracles, packing, quality_classifier, quality_rules, secrets, simhash, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,7 +46,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,10 +66,31 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def lm_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op2: its counts and the unigram's score."""
+    return op2_lm_score(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def secret_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op4: the pattern matches."""
+    return op4_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def rule_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op5: the counted rules."""
+    return op5_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_language, op2_lm_score, op3_quality, op4_secrets, op5_quality_rules, op6_decontamination, op7_packing, op8_simhash, op9_toxicity, op10_token_files)
+    """The ten operators, and the columns of three of them that SQL can check.
+
+    All read whole tables. Null texts count as empty, null keys are carried along, repeated rows are answered as often as
+    they occur (op6: once), empty tables give empty results; ties and very long texts are the operators' affair, whose
+    docstrings say what they do.
+    """
+    made = (op1_language, op2_lm_score, op3_quality, op4_secrets, op5_quality_rules, op6_decontamination, op7_packing, op8_simhash, op9_toxicity, op10_token_files, lm_base_columns, secret_base_columns, rule_base_columns)
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_decontamination": oracles.DECONTAMINATION, "lm_base_columns": oracles.LM_BASE, "secret_base_columns": oracles.SECRET_BASE, "rule_base_columns": oracles.RULE_BASE}
