@@ -73,20 +73,35 @@ def laid_out(texts: list[bytes], order: int = ORDER) -> Laid:
 
 
 class Tally:
-    """Distinct values met so far and how often each was counted."""
+    """Distinct values met so far and how often each was counted.
+
+    Each slice is numbered by itself; slices are merged when they hold as many distinct values as there are already, so
+    that the whole table is hashed a few times only.
+    """
+
+    LEAST = 1 << 18
 
     def __init__(self, kind: pa.DataType) -> None:
         self.values, self.counts = pa.array([], kind), np.zeros(0, np.int64)
+        self.later: list[tuple[pa.Array, np.ndarray]] = []
 
     def add(self, values: pa.Array, counted: np.ndarray) -> None:
         """Takes in all values; counted tells which of them count."""
         if not len(values):
             return
-        coded = pa.chunked_array([self.values, values]).dictionary_encode().chunks[-1]
-        self.values = coded.dictionary
-        more = np.bincount(coded.indices.to_numpy(), counted, len(self.values)).astype(np.int64)
-        more[: len(self.counts)] += self.counts
-        self.counts = more
+        coded = values.dictionary_encode()
+        self.later.append((coded.dictionary, np.bincount(coded.indices.to_numpy(), counted, len(coded.dictionary)).astype(np.int64)))
+        if sum(len(d) for d, _ in self.later) >= max(self.LEAST, len(self.values)):
+            self.merge()
+
+    def merge(self) -> None:
+        parts = [x for x in [(self.values, self.counts), *self.later] if len(x[0])]
+        if parts:
+            coded = pa.chunked_array([d for d, _ in parts]).dictionary_encode()
+            self.values, self.later = coded.chunk(0).dictionary, []
+            self.counts = np.zeros(len(self.values), np.int64)
+            for chunk, (_, n) in zip(coded.chunks, parts, strict=True):
+                self.counts[chunk.indices.to_numpy()] += n  # a part has each value once
 
 
 def subtables(grams: np.ndarray, counts: np.ndarray, low: int, high: int, below: tuple | None) -> list[tuple]:
@@ -154,6 +169,8 @@ def listed(docs: DataFrame, order: int) -> DataFrame:
                 words.add(laid.words, np.repeat(train, np.diff(laid.word_bounds)))
                 grams.add(pa.array(laid.grams), np.repeat(train, np.diff(laid.gram_bounds)))
         words.add(pa.array([END], pa.binary()), np.array([ends]))
+        words.merge()
+        grams.merge()
         order_of = np.argsort(grams.values.to_numpy())
         made = ((words.values, pa.nulls(len(words.values), pa.int64()), words.counts), (None, grams.values.take(pa.array(order_of)), grams.counts[order_of]))
         for tokens, numbers, counts in made:
@@ -187,10 +204,10 @@ def chances(totals: DataFrame, near: list[tuple], order: int) -> DataFrame:
     return totals.select("gram", "n").repartition(suffix).mapInArrow(run, "gram long, logp float")
 
 
-def by_part(rows: DataFrame, name: str) -> str:
-    """Path of rows as one Parquet folder for each part."""
+def by_part(rows: DataFrame, by: str, name: str) -> str:
+    """Path of rows as one Parquet folder for each part, in the order of by."""
     path = fresh_path(rows.sparkSession, name)
-    rows.repartition("part").sortWithinPartitions("part").write.partitionBy("part").parquet(path)
+    rows.repartition("part").sortWithinPartitions("part", by).write.partitionBy("part").parquet(path)
     passing(rows.sparkSession, path)
     return path
 
@@ -240,34 +257,48 @@ def score_corpus(docs: DataFrame, folds: int = 7, held: int = 2, order: int = OR
         # each of the two is dealt out once: for the sums, and for the join with them
         dealt = tokens.repartition("token")
         sums = dealt.groupBy("token").agg(F.sum("n").alias("c"), F.min(F.when(F.col("n") > 0, F.col("part"))).alias("home")).where("c > 0")
-        words = by_part(dealt.join(sums, "token").select("part", "token", "n", "c", (F.col("part") == F.col("home")).alias("first")), "words")
+        words = by_part(dealt.join(sums, "token").select("part", "token", "n", "c", (F.col("part") == F.col("home")).alias("first")), "token", "words")
         n_distinct = spark.read.schema("token binary, n long, c long, first boolean, part int").parquet(words).where("first").count() if n_all else 0
         dealt = grams.repartition("gram")
         model = chances(dealt.groupBy("gram").agg(F.sum("n").alias("n"), F.min("part").alias("home")), tables, order)
-        known = by_part(dealt.join(model, "gram").select("part", "gram", "n", "logp"), "chances")
+        known = by_part(dealt.join(model, "gram").select("part", "gram", "n", "logp"), "gram", "chances")
         floor = float(n_all + n_distinct + 1)
         made = [T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())]
         schema = T.StructType([docs.schema[key], *made])
 
+        def total(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+            return np.diff(np.concatenate(([0.0], np.cumsum(x, dtype=np.float64)))[bounds])
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part, own = TaskContext.get().partitionId(), None
             for batch in batches:
                 if own is None:
                     own = read_part(words, part, ["token", "c"]).combine_chunks(), read_part(known, part, ["gram", "logp"]).combine_chunks()
-                    token_set, gram_set = own[0].column("token").combine_chunks(), own[1].column("gram").combine_chunks()
+                    token_set, gram_set = own[0].column("token").combine_chunks(), own[1].column("gram").to_numpy()
+                    if (gram_set[1:] < gram_set[:-1]).any():  # more than one file
+                        own = own[0], own[1].sort_by("gram")
+                        gram_set = own[1].column("gram").to_numpy()
                     terms = np.append(np.log10((own[0].column("c").to_numpy() + 1.0) / floor), np.log10(1.0 / floor))
-                    logp = own[1].column("logp").to_numpy().astype(np.float64)
+                    logp = own[1].column("logp").to_numpy()
                     end = pc.index_in(pa.array([END], pa.binary()), value_set=token_set)[0].as_py()
-                texts = raw_texts(batch.column(1))
+                texts, parts = raw_texts(batch.column(1)), []
                 for a, b in slices(texts, BLOCK):
                     laid = laid_out(texts[a:b], order)
-                    word = pc.index_in(laid.words, value_set=token_set).fill_null(-1).to_numpy()
-                    gram = pc.index_in(pa.array(laid.grams), value_set=gram_set)
-                    if gram.null_count:
+                    word, gram = laid.words.dictionary_encode(), pa.array(laid.grams).dictionary_encode()
+                    wanted = gram.dictionary.to_numpy()
+                    ranked = np.argsort(wanted)  # neighbours are looked up together
+                    at = places(gram_set, wanted[ranked])
+                    if len(at) and at.min() < 0:
                         raise ValueError("docs came out in other partitions the second time: pass a stored table")
-                    sizes = np.diff(laid.word_bounds)
-                    total = lambda x, bounds: np.diff(np.concatenate(([0.0], np.cumsum(x)))[bounds])
-                    columns = [sizes + 1, total(word >= 0, laid.word_bounds).astype(np.int64) + (end is not None), total(terms[word], laid.word_bounds) + terms[-1 if end is None else end], total(logp[gram.to_numpy()], laid.gram_bounds)]
+                    value = np.empty(len(wanted))
+                    value[ranked] = logp[at]
+                    parts.append((a, b, laid.word_bounds, word.indices.to_numpy(), word.dictionary, total(value[gram.indices.to_numpy()], laid.gram_bounds)))
+                found = pc.index_in(pa.chunked_array([p[4] for p in parts], pa.binary()), value_set=token_set).combine_chunks().fill_null(-1).to_numpy() if parts else []
+                done = 0
+                for a, b, bounds, code, dictionary, scores in parts:
+                    word = found[done : done + len(dictionary)][code]
+                    done += len(dictionary)
+                    columns = [np.diff(bounds) + 1, total(word >= 0, bounds).astype(np.int64) + (end is not None), total(terms[word], bounds) + terms[-1 if end is None else end], scores]
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *map(pa.array, columns)], names=schema.names)
             trim()
 
