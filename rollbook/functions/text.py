@@ -1,17 +1,13 @@
-"""Text expressions: tokens, title words, stems, durations, names, entities, dictionary rewrites. All run in the JVM
-but for exact_fold and decode_numeric_entities, which need Unicode tables that Spark has no function for."""
+"""Text expressions: tokens, title words, stems, durations, names, entities, dictionary rewrites. All run in the JVM."""
 
 from __future__ import annotations
 
-import html
-import re
+import json
 import unicodedata
 from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Words that carry no identity in a title, and words that only decorate one.
 STOP_WORDS = ["a", "an", "and", "at", "by", "for", "in", "into", "of", "on", "the", "to", "with"]
@@ -26,42 +22,49 @@ def text_of(value: Column | str) -> Column:
 
 
 @cache
-def folding() -> tuple[str, str]:
-    """Characters whose compatibility form without marks is one ASCII letter or digit, and those letters, by rule."""
-    pairs = []
+def folding() -> tuple[str, str, dict[str, str]]:
+    """By rule, from compatibility forms without marks: characters that stand for one ASCII letter or digit, these, and a
+    map of the characters that stand for several characters with such a one among them (ligatures, units, enclosed ones)."""
+    pairs, several = [], {}
     for cp in range(0x80, 0x20000):
         if 0xD800 <= cp < 0xE000:
             continue
         form = "".join(c for c in unicodedata.normalize("NFKD", chr(cp)) if not 0x300 <= ord(c) <= 0x36F)
         if len(form) == 1 and form.isascii() and form.isalnum():
             pairs.append((chr(cp), form))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+        elif len(form) > 1 and any(c.isascii() and c.isalnum() for c in form):
+            several[chr(cp)] = form
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs), several
 
 
-def fold(value: Column | str) -> Column:
-    """Lower case without diacritics: exact_fold for all but letters that stand for several, such as ligatures."""
-    text = text_of(value)
-    wide, plain = folding()
-    return F.when(text.rlike(r"^\p{ASCII}*$"), F.lower(text)).otherwise(F.lower(F.regexp_replace(F.translate(text, wide, plain), r"[\x{0300}-\x{036F}]", "")))
-
+def character_class(chars: list[str]) -> str:
+    """A regular expression's class of these characters, as ranges."""
+    out, points = [], sorted(map(ord, chars))
+    begin = last = points[0]
+    for p in [*points[1:], None]:
+        if p != last + 1 if p is not None else True:
+            out.append(f"\\x{{{begin:X}}}-\\x{{{last:X}}}")
+            begin = p
+        last = p
+    return "[" + "".join(out) + "]"
 
-@F.pandas_udf(T.StringType())
-def exact_fold(values: pd.Series) -> pd.Series:
-    """Compatibility composition, decomposition, no combining marks U+0300 to U+036F, lower case."""
 
-    def one(x: str | None) -> str:
-        if not x:
-            return ""
-        if x.isascii():
-            return x.lower()
-        return re.sub("[̀-ͯ]", "", unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", x))).lower()
+def fold(value: Column | str) -> Column:
+    """Compatibility decomposition as far as it gives ASCII letters and digits, no combining marks U+0300 to U+036F, lower case.
 
-    return values.map(one)
+    Plain ASCII takes the first branch; the table of characters that stand for several is only read for texts that hold one.
+    """
+    text = text_of(value)
+    wide, plain, several = folding()
+    table = F.from_json(F.lit(json.dumps(several)), "map<string,string>")
+    spelled = F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    spelled = F.when(text.rlike(character_class(list(several))), spelled).otherwise(text)
+    return F.when(text.rlike(r"^\p{ASCII}*$"), F.lower(text)).otherwise(F.lower(F.regexp_replace(F.translate(spelled, wide, plain), r"[\x{0300}-\x{036F}]", "")))
 
 
-def tokens(value: Column | str, exact: bool = False) -> Column:
-    """Runs of a-z and 0-9 of the folded text, in order; exact folds by exact_fold."""
-    return F.regexp_extract_all(exact_fold(text_of(value)) if exact else fold(value), F.lit("[a-z0-9]+"), F.lit(0))
+def tokens(value: Column | str) -> Column:
+    """Runs of a-z and 0-9 of the folded text, in order."""
+    return F.regexp_extract_all(fold(value), F.lit("[a-z0-9]+"), F.lit(0))
 
 
 def normalized(value: Column | str) -> Column:
@@ -102,6 +105,7 @@ def performer_name(value: Column | str, suffix: str = "ls") -> Column:
 def title_stem(value: Column | str) -> Column:
     """Tokens of a title without addresses, brace and tag decorations, dates and decoration words."""
     text = text_of(value)
+    # What is cut out, in order. Word boundaries are look-arounds, as Java's own follow Unicode letters.
     for pattern in (r"(?i)https?://\S+", r"(?i)\{(?:new|watch/?download:)[^}]*\}", r"(?:\s+#[\p{L}\p{N}_-]+)+\s*$", r"(?<![A-Za-z0-9_])(?:19|20)\d{2}[-/. ]\d{1,2}[-/. ]\d{1,2}(?![A-Za-z0-9_])", r"(?<![A-Za-z0-9_])\d{2}[-/. ](?:0?[1-9]|1[0-2])[-/. ](?:0?[1-9]|[12]\d|3[01])(?![A-Za-z0-9_])"):
         text = F.regexp_replace(text, pattern, " ")
     return F.array_join(without(tokens(text), DECORATION_WORDS), " ")
@@ -156,10 +160,25 @@ def decode_named_entities(value: Column | str) -> Column:
     return text
 
 
-@F.pandas_udf(T.StringType())
-def decode_numeric_entities(values: pd.Series) -> pd.Series:
-    """All character references, numeric ones included."""
-    return values.map(lambda x: None if x is None else html.unescape(x))
+def decode_numeric_entities(value: Column | str) -> Column:
+    """Decimal references, then hexadecimal ones, then six names (ampersand, quotes, apostrophe, angle brackets); null stays null.
+
+    A number that is no character stays as it is written.
+    """
+    text = (F.col(value) if isinstance(value, str) else value).cast("string")
+
+    def decoded(at: Column, pattern: str, base: int) -> Column:
+        between, found = F.split(at, pattern, -1), F.regexp_extract_all(at, F.lit(pattern), F.lit(0))
+        number = lambda r: F.conv(F.regexp_extract(r, "([0-9A-Fa-f]+);$", 1), base, 10).try_cast("long")
+        real = lambda n: n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
+        shown = F.transform(found, lambda r: F.when(real(number(r)), F.decode(F.unhex(F.lpad(F.hex(number(r)), 8, "0")), "UTF-32")).otherwise(r))
+        return F.when(at.rlike(pattern), F.array_join(F.flatten(F.transform(between, lambda x, i: F.array(x, F.coalesce(F.get(shown, i), F.lit(""))))), "")).otherwise(at)
+
+    out = decoded(decoded(text, "&#[0-9]+;", 10), "&#[xX][0-9a-fA-F]+;", 16)
+    # The names, in the order in which they are decoded.
+    for pattern, to in (("&amp;", "&"), ("&quot;", '"'), ("&#39;|&apos;", "'"), ("&lt;", "<"), ("&gt;", ">")):
+        out = F.regexp_replace(out, pattern, to)
+    return F.when(F.contains(text, F.lit("&")), out).otherwise(text)
 
 
 def names(value: Column | str) -> Column:
@@ -183,29 +202,25 @@ def attributes(tag: Column | str) -> Column:
     return F.map_from_arrays(F.transform(last, lambda p: p["k"]), F.transform(last, lambda p: p["v"]))
 
 
-def number_in(text: Column, pattern: str, group: int = 1) -> Column:
-    """A captured number, 0 where there is none."""
-    return F.coalesce(F.regexp_extract(text, pattern, group).try_cast("double"), F.lit(0.0))
-
-
 def parse_duration(value: Column | str, worded: bool = True) -> Column:
     """Seconds of a number, an ISO 8601 duration with a T, a clock or (worded) "1 hr 2 min"; null if none or not positive.
 
-    Numbers are rounded half up. A clock of zero is 0, as the form itself is taken at its word.
+    Numbers are rounded half up. A clock of zero is 0, as the form itself is taken at its word. The form is told once, and
+    only its own numbers are then looked for.
     """
     text = F.trim(text_of(value))
-    d = r"(\d+(?:\.\d+)?)"
-    iso = rf"(?i)^P(?:{d}D)?T(?:{d}H)?(?:{d}M)?(?:{d}S)?$"
-    clock = r"^(?:(\d+):)?(\d{1,2}):(\d{2})$"
+    d, edge = r"(\d+(?:\.\d+)?)", r"(?![A-Za-z0-9_])"
+    iso = r"(?i)^P(?:\d+(?:\.\d+)?D)?T(?:\d+(?:\.\d+)?H)?(?:\d+(?:\.\d+)?M)?(?:\d+(?:\.\d+)?S)?$"
     rounded = lambda x: F.when(x > 0, F.floor(x + 0.5).cast("int"))
-    total = lambda p, weights: sum((number_in(text, p, k) * w for k, w in weights), F.lit(0.0))
-    out = F.when(text.rlike(iso), rounded(total(iso, ((1, 86400), (2, 3600), (3, 60), (4, 1))))).when(text.rlike(clock), total(clock, ((1, 3600), (2, 60), (3, 1))).cast("int"))
-    out = F.when(text.rlike(r"^\d+(?:\.\d+)?$"), rounded(text.try_cast("double"))).otherwise(out)
-    if worded:
-        units = ((r"(?:hours?|hrs?|h)", 3600), (r"(?:minutes?|mins?|m)", 60), (r"(?:seconds?|secs?|s)", 1))
-        spoken = sum((number_in(text, rf"(?i){d}\s*{u}(?![A-Za-z0-9_])") * w for u, w in units), F.lit(0.0))
-        out = F.when(~text.rlike(iso) & ~text.rlike(clock) & ~text.rlike(r"^\d+(?:\.\d+)?$"), rounded(spoken)).otherwise(out)
-    return out
+    number = lambda pattern: F.coalesce(F.regexp_extract(text, pattern, 1).try_cast("double"), F.lit(0.0))
+    parts = F.split(text, ":")
+    clock = F.aggregate(parts, F.lit(0).cast("long"), lambda total, x: total * 60 + F.coalesce(x.try_cast("long"), F.lit(0)))
+    lettered = sum((number(rf"(?i){d}{unit}") * weight for unit, weight in (("D", 86400), ("H", 3600), ("M", 60), ("S", 1))), F.lit(0.0))
+    # The worded units and their seconds.
+    units = ((r"(?:hours?|hrs?|h)", 3600), (r"(?:minutes?|mins?|m)", 60), (r"(?:seconds?|secs?|s)", 1))
+    spoken = sum((number(rf"(?i){d}\s*{u}{edge}") * w for u, w in units), F.lit(0.0))
+    out = F.when(text.rlike(r"^\d+(?:\.\d+)?$"), rounded(text.try_cast("double"))).when(text.rlike(r"^(?:\d+:)?\d{1,2}:\d{2}$"), clock.cast("int")).when(text.rlike(iso), rounded(lettered))
+    return out.otherwise(rounded(spoken)) if worded else out
 
 
 def apply_glossary(value: Column | str, glossary: list[tuple[str, str]]) -> Column:

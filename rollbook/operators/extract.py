@@ -269,9 +269,28 @@ def parse_posts(raw: DataFrame, source: str, column: str = "json") -> DataFrame:
 
 
 def decode_all(value: Column | str) -> Column:
-    """All character references of a text; texts without an ampersand go through as they are."""
-    text = text_of(value)
-    return F.when(F.contains(text, F.lit("&")), X.decode_numeric_entities(text)).otherwise(text)
+    """Numeric and common named character references of a text; null is empty."""
+    return X.decode_numeric_entities(text_of(value))
+
+
+VIDEO = "struct<`@type`:string,name:string,datePublished:string,uploadDate:string,duration:string,thumbnailUrl:string,actor:array<struct<name:string>>>"
+
+
+def parse_video_page(pages: DataFrame, source: str, id_pattern: str, html: str = "html", url: str = "url") -> DataFrame:
+    """An item from the first VideoObject block of each page: id from the address, title, date, performers, duration.
+
+    Without a block, an id, a name or a date, and with a date that is none, the row has an _error. The date is cut to 10
+    characters; names are trimmed, empty and repeated ones dropped. Blocks that are no JSON are passed over.
+    """
+    blocks = F.transform(F.regexp_extract_all(text_of(html), F.lit(LINKED_DATA), F.lit(1)), lambda b: F.from_json(F.trim(b), VIDEO))
+    rows = pages.withColumn("__v", F.get(F.filter(blocks, lambda b: F.coalesce(b["@type"] == "VideoObject", F.lit(False))), F.lit(0)))
+    ident = F.nullif(F.regexp_extract(text_of(url), id_pattern, 1), F.lit(""))
+    title, date = F.nullif(F.trim("__v.name"), F.lit("")), F.left(F.coalesce(F.nullif(F.col("__v.datePublished"), F.lit("")), F.col("__v.uploadDate")), F.lit(10))
+    real = date.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_timestamp(date).isNotNull()
+    names = F.array_distinct(F.filter(F.transform("__v.actor", lambda a: F.trim(a["name"])), lambda n: F.coalesce(n, F.lit("")) != ""))
+    error = F.when(ident.isNull() | title.isNull() | date.isNull(), "required metadata missing").when(~F.coalesce(real, F.lit(False)), "invalid release date")
+    kept = [c for c in pages.columns if c not in (html, url)]
+    return rows.select(*kept, ident.alias("source_item_id"), title.alias("title"), date.alias("release_date"), F.coalesce(names, F.array().cast("array<string>")).alias("performers"), X.parse_duration("__v.duration").alias("duration_sec"), F.coalesce("__v.thumbnailUrl", F.lit("")).alias("thumbnail_url"), F.col(url).alias("release_url"), F.lit(source).alias("source"), error.alias("_error"))
 
 
 ROW = "struct<id:string,title:string,release_date:string,writer:struct<id:string,slug:string,name:string>,tags:array<string>,badge:string,removed:boolean>"

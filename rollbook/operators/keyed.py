@@ -28,6 +28,18 @@ def first_per_key_with_tags(df: DataFrame, key: str, order: list[str], tag: str,
     return met.select(key, *(F.col(f"__row.{c}").alias(c) for c in rest), tags)
 
 
+def union_per_key(df: DataFrame, key: str, order: list[str], place: str = "place") -> DataFrame:
+    """Of each key the last row by order, and as place the order of its first row: last value, first position."""
+    rest = [c for c in df.columns if c != key]
+    met = df.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__row"), F.min(F.struct(*order)).alias(place))
+    return met.select(*(F.col(key) if c == key else F.col(f"__row.{c}").alias(c) for c in df.columns), place)
+
+
+def known(df: DataFrame, among: DataFrame, key: str) -> DataFrame:
+    """Rows of df whose key is among the known."""
+    return df.join(among.select(key), key, "left_semi")
+
+
 def lookup_with_fallback(left: DataFrame, right: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
     """left with value of the right row that has its first key, or else its second, and so on.
 

@@ -49,6 +49,24 @@ def translate_titles(titles: DataFrame, cache: DataFrame, glossary: list[tuple[s
     return made.where("provider <> 'untranslated'").unionByName(made.where("provider = 'untranslated'").mapInPandas(run, made.schema))
 
 
+def grown_cache(cache: DataFrame, made: DataFrame) -> DataFrame:
+    """The cache with what was newly found; titles that stayed untranslated or needed none are not kept."""
+    columns = ["original", "title", "provider", "translated"]
+    new = made.where(F.col("translated")).join(cache.select("original"), "original", "left_anti")
+    return cache.select(*columns).unionByName(new.select(*columns))
+
+
+def named_labels(status: DataFrame, namer: Translator) -> DataFrame:
+    """label_id, name of labels whose name holds Han or kana, by one call of namer; none if it fails."""
+    rows = [(r.label_id, r.name.strip()) for r in status.where(has_cjk("name")).select("label_id", "name").collect()]
+    try:
+        got = namer(list(dict.fromkeys(n for _, n in rows if n))) if rows else {}
+    except Exception:  # names are an extra: without them the job goes on
+        got = {}
+    found = [(i, got[n].strip()) for i, n in rows if (got.get(n) or "").strip()]
+    return status.sparkSession.createDataFrame(found, "label_id string, name string")
+
+
 def apply_translations(items: DataFrame, translations: DataFrame) -> DataFrame:
     """Items with their original title's translation where they have none yet; the original is kept."""
     named = translations.select(F.col("original").alias("__original"), F.struct(F.col("title").alias("t"), F.col("provider").alias("p"), F.col("translated").alias("d")).alias("__got"))

@@ -25,6 +25,47 @@ def test_strikes_agree_with_the_batch_fold(spark, tmp_path):
     assert last == batch
 
 
+def test_folding_counts_deaths():
+    import itertools
+
+    import numpy as np
+
+    for start in (0, 1):
+        for outcomes in itertools.product((True, False), repeat=6):
+            strikes, deaths = start, 0
+            for dead in outcomes:
+                strikes = strikes + 1 if dead else 0
+                if strikes >= 2:
+                    strikes, deaths = 0, deaths + 1
+            assert I.folded(np.array(outcomes), start, 2) == (strikes, deaths)
+
+
+def test_pending_queue(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    first = spark.createDataFrame([("a", "pending", t0), ("b", "pending", t0), ("c", "clear", t0)], "k string, s string, t timestamp")
+    second = spark.createDataFrame([("a", "clear", t0 + dt.timedelta(hours=1)), ("b", "pending", t0 + dt.timedelta(hours=1))], first.schema)
+    source = str(tmp_path / "in")
+    first.coalesce(1).write.parquet(source)
+    again = lambda: I.drained(I.pending_queue(I.landed(spark, source, first.schema), "k", "s", "t"), str(tmp_path / "q"))
+    assert sorted((r.key, r.state) for r in again().collect()) == [("a", "waiting"), ("b", "waiting")]
+    second.coalesce(1).write.mode("append").parquet(source)
+    assert sorted((r.key, r.state, r.since) for r in again().collect()) == [("a", "resolved", t0), ("a", "waiting", t0), ("b", "waiting", t0)]
+    spark.createDataFrame([("z", "clear", t0 + dt.timedelta(days=9))], first.schema).coalesce(1).write.mode("append").parquet(source)
+    assert ("b", "expired", t0) in [(r.key, r.state, r.since) for r in again().collect()]
+
+
+def test_sessions_and_refresh_on_arrival(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(1, t0), (1, t0 + dt.timedelta(minutes=10)), (1, t0 + dt.timedelta(hours=3)), (2, t0)], "k int, t timestamp")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = I.landed(spark, str(tmp_path / "in"), df.schema)
+    assert sorted((r.k, r.n) for r in drained(I.sessions(stream, "t", "k"), "sessions", "complete").collect()) == [(1, 1), (1, 2), (2, 1)]
+    met = []
+    I.refresh_on_arrival(stream, str(tmp_path / "checkpoint"), lambda batch, number: met.append(batch.count()))
+    I.refresh_on_arrival(stream, str(tmp_path / "checkpoint"), lambda batch, number: met.append(batch.count()))
+    assert met == [4]
+
+
 def test_unseen_and_counts(spark, tmp_path):
     t0 = dt.datetime(2024, 1, 1)
     df = spark.createDataFrame([(1, t0), (1, t0 + dt.timedelta(hours=1)), (2, t0)], "k int, t timestamp")

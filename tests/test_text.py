@@ -17,9 +17,19 @@ def test_tokens_exact_and_native(spark, value):
 
     form = re.sub("[̀-ͯ]", "", unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", value or ""))).lower()
     want = re.findall("[a-z0-9]+", form)
-    assert one(spark, X.tokens(F.lit(value).cast("string"), exact=True)) == want
-    if not any(len(unicodedata.normalize("NFKD", c)) > 1 and unicodedata.combining(unicodedata.normalize("NFKD", c)[-1]) == 0 for c in value or ""):
-        assert one(spark, X.tokens(F.lit(value).cast("string"))) == want
+    assert one(spark, X.tokens(F.lit(value).cast("string"))) == want
+
+
+def test_folding_is_exact_for_every_block(spark):
+    import random
+    import re
+
+    r = random.Random(1)
+    chars = [chr(c) for c in [*range(0x20, 0x3000), *range(0xF900, 0xFFFF), *range(0x1D400, 0x1F200)]] + list("abcXYZ0 é") * 300
+    texts = ["".join(r.choice(chars) for _ in range(12)) for _ in range(4000)]
+    want = [re.findall("[a-z0-9]+", re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", t))).lower()) for t in texts]
+    got = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", X.tokens("t").alias("x")).collect()
+    assert all(g.x == want[g.i] for g in got)
 
 
 def test_words_and_titles(spark):
@@ -58,8 +68,8 @@ def test_entities_names_attributes(spark):
     assert one(spark, X.clean_text(F.lit(" a &amp; b &#39;c&#x27; &QUOT;d&quot; "))) == "a & b 'c' \"d\""
     assert one(spark, X.names(F.lit("Ann Lee, Bo &amp; Cy and Dee, Ann Lee"))) in (["Ann Lee", "Bo & Cy", "Dee"],)
     assert one(spark, X.attributes(F.lit("<meta Name=\"a\" content='x \"y\" z' name='b'>"))) == {"name": "b", "content": 'x "y" z'}
-    df = spark.createDataFrame([("&#65;&#x42;&nbsp;",), (None,)], "s string")
-    assert [r[0] for r in df.select(X.decode_numeric_entities("s")).collect()] == ["AB\xa0", None]
+    df = spark.createDataFrame([("&#65;&#x42;&nbsp;&amp;&#39;",), (None,), ("&#1114112;&#xD800;&#128512;",), ("&amp;#65; &lt;&eacute;",)], "s string")
+    assert [r[0] for r in df.select(X.decode_numeric_entities("s")).collect()] == ["AB&nbsp;&'", None, "&#1114112;&#xD800;\U0001f600", "&#65; <&eacute;"]
     assert one(spark, X.url_component(F.lit("a b&c"))) == "a%20b%26c"
     assert one(spark, X.search_slug(F.lit("Été à Paris!"))) == "ete-a-paris"
     assert one(spark, X.initials(F.lit("long red river"))) == "LR"
