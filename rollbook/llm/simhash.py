@@ -250,8 +250,10 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, width: int = 4, key: str
     marked = stored(fingerprints(docs.select(F.col(key).alias("key"), own.alias("hash"), F.col(text).alias("text")), ["key", "hash"], width, "text"), "fingerprints")
     order = F.struct(F.col("key").isNull().alias("bare"), "key", "hash")
     firsts = marked.groupBy("fp").agg(F.min(order).alias("first"))
-    heads = stored(firsts.join(labelled(marked, radius), "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("head"), F.col("first.hash").alias("head_hash")), "heads")
-    rows = docs.select(F.col(key).alias("key"), own.alias("hash"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    same = F.col("key").eqNullSafe(F.col("head")) & (F.col("hash") == F.col("head_hash"))
-    turn = Window.partitionBy("key", "hash").orderBy("hash")
-    return rows.join(heads, same, "left_semi").withColumn("turn", F.row_number().over(turn)).where("turn = 1").select("row.*")
+    told = lambda key: [key.isNull().alias("bare"), F.coalesce(key.cast("string"), F.lit("")).alias("name")]
+    heads = stored(firsts.join(labelled(marked, radius), "fp").groupBy("root").agg(F.min("first").alias("first")).select(*told(F.col("first.key")), F.col("first.hash").alias("hash")), "heads")
+    rows = docs.select(*told(F.col(key)), own.alias("hash"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    same = ["bare", "name", "hash"]
+    turn = Window.partitionBy(*same).orderBy("hash")
+    single = rows.withColumn("turn", F.row_number().over(turn)).where("turn = 1")  # repeated rows go where they lie, before the one shuffle that the join needs too
+    return single.join(heads, same, "left_semi").select("row.*")
