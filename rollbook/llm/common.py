@@ -109,7 +109,7 @@ def pa_type(kind: T.DataType) -> pa.DataType:
 
 
 def filter_texts(df: DataFrame, text: str, keep: Callable[[list[bytes]], list[bool]]) -> DataFrame:
-    """Rows of df whose text keep() accepts; every column passes through as it is."""
+    """Rows of df whose text keep() accepts (null: as empty); every column passes through as it is, whatever its name."""
     names, at = df.columns, df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ from rollbook.llm.common import stored
 #: Picked offsets of each mask.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
 WINDOW, SHARE = 13, 0.8
-#: What may be broadcast: so many seeds, items' words and contaminated or suspected documents (16 bytes or so each).
+#: What may be broadcast: so many numbers of seeds and their places, contaminated or suspected documents (16 bytes or so each).
 MOST_SEEDS, MOST_ROWS = 2_000_000, 300_000
 
 
@@ -94,7 +94,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     masks = masks_for(lengths, window, share)
     most = [None if m in MASKS else longest_item(m, window, share) for m in masks]
     known = stored(seed_rows(classes, ["class"], "words", masks, most).groupBy("seed", "class").agg(F.collect_set("place").alias("places")), "seeds")
-    if known.count() <= MOST_SEEDS:
+    if (known.agg(F.sum(F.size("places") + 2)).first()[0] or 0) <= MOST_SEEDS:
         known = F.broadcast(known)
     columns = docs.select(F.col(key).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), word_hashes(F.col(text)).alias("words"))
     found = seed_rows(columns, ["id", "text_hash"], "words", masks).join(known, "seed")

@@ -190,6 +190,9 @@ def quality(docs: DataFrame, model: QualityModel, key: str = "doc_id", text: str
 
 
 def fine_documents(docs: DataFrame, model: QualityModel, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that quality() keeps, with all their columns."""
+    """The rows of docs that quality() keeps, with all their columns, whatever their names; repeated rows stay repeated.
+
+    Null and empty texts are judged by the bias alone; an empty table gives an empty one.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model.scorer)
     return filter_texts(docs, text, lambda texts: [1 - shared.value.junk(t) >= 1 - threshold for t in texts])

@@ -188,7 +188,7 @@ def quality_rules(docs: DataFrame, crf: LineCrf, min_words: int = 50, max_repeat
 
 
 def kept_documents(docs: DataFrame, crf: LineCrf, min_words: int = 50, max_repeat_percent: int = 50, min_content: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows of docs that quality_rules keeps, with all their columns."""
+    """The rows of docs that quality_rules keeps, with all their columns, whatever their names; null texts are dropped."""
     return filter_texts(docs, text, lambda texts: judged(texts, crf, min_words, max_repeat_percent, min_content)[2])
 
 

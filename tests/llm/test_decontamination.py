@@ -89,3 +89,29 @@ def test_masks_of_every_short_length_are_lossless():
         for n in lengths:
             own = [m for m in masks if m in dc.MASKS or n <= dc.longest_item(m)]
             assert all(any(dc.shows(m, n, set(bad)) for m in own) for bad in combinations(range(n), n - dc.needed(n)))
+
+
+def test_very_long_documents_items_and_repeats(spark):
+    r = random.Random(5)
+    words = [f"v{r.randrange(5000)}" for _ in range(40_000)]
+    passage = [f"p{k}" for k in range(20)]
+    rows = [(1, " ".join(words[:20_000] + passage + words[20_000:])), (2, " ".join(words)), (3, " ".join(["same"] * 2000)), (None, None)]
+    items = [(7, " ".join(passage)), (7, " ".join(passage)), (8, " ".join(["same"] * 30)), (None, " ".join(passage)), (9, "")]
+    got = dc.contaminated(spark.createDataFrame(rows + rows[:1], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted({(x.doc_id, x.item_id or 0, x.matched) for x in got}) == [(1, 0, 20), (1, 7, 20), (3, 8, 30)]
+
+
+def test_query_equals_its_sql(spark):
+    import duckdb
+
+    from rollbook.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        got, want = queries.queries()[name](spark, sf), con.sql(sql)
+        assert sorted(got.columns) == sorted(want.columns)
+        order = sorted(got.columns)
+        assert sorted(map(tuple, got.select(order).collect())) == sorted(want.select(*order).fetchall()), name

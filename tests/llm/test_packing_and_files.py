@@ -77,6 +77,9 @@ def test_packing_holds_every_id_once(spark):
 def test_packing_edges(spark):
     df = spark.createDataFrame([], "doc_id long, text string, ids string")
     assert packing.pack(df, WORDS).count() == 0
+    clash = spark.createDataFrame([(1, "some words", "x", 5), (1, "some words", "x", 5), (None, None, None, None), (2, "long " * 60_000, "y", 1)], "doc_id long, text string, ids string, offset long")
+    got = packing.pack(clash, WORDS).collect()
+    assert sum(r.length for r in got) == 3 + 3 + 1 + 60_001 and {r.doc_tokens for r in got} == {3, 1, 60_001}
 
 
 def keys_of(values: list, kind: pa.DataType | None = None) -> token_files.Keys:

@@ -193,6 +193,9 @@ def test_classifier_edges(spark):
     assert qc.fine_documents(df, model).columns == df.columns
     empty = df.limit(0)
     assert qc.quality(empty, qc.learn_quality(empty)).count() == 0
+    long = "ordinary words of a very long text, line by line.\n" * 20_000
+    twice = spark.createDataFrame([(1, long, "x"), (1, long, "x"), (None, long, "y")], "doc_id long, text string, kept string")
+    assert len({r.score for r in qc.quality(twice, model).collect()}) == 1 and qc.fine_documents(twice, model).columns == twice.columns
 
 
 def test_crf_learns_from_whole_texts(spark):

@@ -164,3 +164,10 @@ def test_query_matches_a_slow_version(spark):
         least.setdefault(root[rows[d]], d)
     got = {(r.doc_id, r.fingerprint, r.component_id) for r in queries.op8_simhash(spark, sf).collect()}
     assert got == {(d, f"{f:016x}", least[root[f]]) for d, f in rows.items()}
+
+
+def test_very_long_texts(spark):
+    text = " ".join(f"w{k % 70_000}" for k in range(120_000))
+    df = spark.createDataFrame([(1, text), (2, text.upper()), (3, text + " more")], "doc_id long, text string")
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(df).collect()}
+    assert got[1] == got[2] and got[1][0] == f"{simhash.fingerprint(text.encode()):016x}" and got[3][1] == 1
