@@ -12,8 +12,8 @@ def catalogue_order(df: DataFrame, date: str = "release_date", ties: list[str] |
 
 
 def status_order(df: DataFrame, kind: str = "kind", ordinal: str = "ordinal", name: str = "name") -> DataFrame:
-    """Sources in their registered order, then labels by name."""
-    return df.orderBy(F.when(F.col(kind) == "source", 0).otherwise(1), F.col(ordinal).asc_nulls_last(), name)
+    """Sources in their registered order, then labels by name as a reader would order them; equal ones by their bytes."""
+    return df.orderBy(F.when(F.col(kind) == "source", 0).otherwise(1), F.col(ordinal).asc_nulls_last(), F.collate(F.col(name), "UNICODE"), name)
 
 
 def budget_queue(items: DataFrame, known: DataFrame, pending: DataFrame, key: str, date: str, budget: int, ties: list[str]) -> DataFrame:
