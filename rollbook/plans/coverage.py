@@ -364,9 +364,9 @@ ORDER = "abs(cd - dur), undated, case when not undated then abs(epoch(added) - e
 def items_and_candidates(spark, sf) -> tuple[DataFrame, DataFrame]:
     o = orders(spark, sf)
     seconds = F.col("price").cast("long") % 3600
-    items = o.select(k().alias("item_id"), put("order ", k(), " nowhere").alias("title"), F.array(put("p", c()), F.lit("")).alias("performers"), seconds.alias("duration_sec"), F.col("day").alias("release_date"))
+    items = o.select(k().alias("item_id"), put("order ", k(), " nowhere").alias("title"), F.array(put("p", c()), F.lit("")).alias("performers"), seconds.alias("duration_sec"), F.col("day").alias("release_date"), put("p", c()).alias("search"))
     added = F.when(k() % 3 != 0, F.date_format(F.date_add(F.to_date("day"), (k() % 11 - 5).cast("int")), "yyyy-MM-dd"))
-    cands = o.select(put("Some p", c(), " clip ", k() % 7).alias("cand_title"), F.when(k() % 13 == 0, "long").otherwise((seconds + k() % 5 - 2).cast("string")).alias("duration"), added.alias("added"), (c() % 50).alias("views"), put("https://x/", k()).alias("url"), put("U", k() % 3).alias("uploader"), k().alias("ordinal"))
+    cands = o.select(put("Some p", c(), " clip ", k() % 7).alias("cand_title"), F.when(k() % 13 == 0, "long").otherwise((seconds + k() % 5 - 2).cast("string")).alias("duration"), added.alias("added"), (c() % 50).alias("views"), put("https://x/", k()).alias("url"), put("U", k() % 3).alias("uploader"), k().alias("ordinal"), put("p", c()).alias("search"))
     return items, cands
 
 
@@ -382,7 +382,7 @@ select k, url from (select *, row_number() over (partition by k order by {ORDER}
 def pick_match(spark, sf):
     """Linkage with its real gate, rank, stems and refusal: durations within two seconds, a performer's tokens in the title."""
     items, cands = items_and_candidates(spark, sf)
-    return linkage.pick_match(items, cands).select(F.col("item_id").alias("k"), "url")
+    return linkage.pick_match(items, cands, on=["search"]).select(F.col("item_id").alias("k"), "url")
 
 
 @query(picked_sql("i.c = c.c and c.k % 10 < 4"))
@@ -392,7 +392,7 @@ def staged_pools(spark, sf):
     some = cands.where(F.col("ordinal") % 10 < 4).withColumn("uploader", F.lower("uploader"))
     accounts = spark.createDataFrame([("U0",), ("U1",), ("U2",)], "account string")
     pool = linkage.trusted_pool(some, accounts)
-    found = linkage.match_in_stages(items, [(cands.limit(0), linkage.open_identity), (None, linkage.open_identity), (pool, linkage.open_identity)])
+    found = linkage.match_in_stages(items, [(cands.limit(0), linkage.open_identity), (None, linkage.open_identity), (pool, linkage.open_identity)], on=["search"])
     return found.select(F.col("item_id").alias("k"), "url")
 
 
@@ -410,11 +410,11 @@ def identity_gates(spark, sf):
 def verified_copies(spark, sf):
     """Copies of the pick, each checked on its detail page: native ones first, two at most."""
     o = orders(spark, sf)
-    items = o.select(k().alias("item_id"), F.lit("the long red river crossing").alias("title"), F.array(put("p", k())).alias("performers"), (k() * 10 + 100).alias("duration_sec"), F.col("day").alias("release_date"))
-    cand = lambda n, external: o.select(put("p", k(), " film").alias("cand_title"), (k() * 10 + 100).alias("duration"), F.lit(None).cast("string").alias("added"), F.lit(0).alias("views"), put("u", F.lit(n), "-", k()).alias("url"), F.lit("").alias("uploader"), F.lit(n).alias("ordinal"), F.lit(external).alias("is_external"))
+    items = o.select(k().alias("item_id"), F.lit("the long red river crossing").alias("title"), F.array(put("p", k())).alias("performers"), (k() * 10 + 100).alias("duration_sec"), F.col("day").alias("release_date"), k().alias("search"))
+    cand = lambda n, external: o.select(put("p", k(), " film").alias("cand_title"), (k() * 10 + 100).alias("duration"), F.lit(None).cast("string").alias("added"), F.lit(0).alias("views"), put("u", F.lit(n), "-", k()).alias("url"), F.lit("").alias("uploader"), F.lit(n).alias("ordinal"), F.lit(external).alias("is_external"), k().alias("search"))
     detail = lambda n, good: o.select(put("u", F.lit(n), "-", k()).alias("url"), F.when(good, put("p", k(), " in the long red river crossing")).otherwise("nobody").alias("detail_title"))
     cands, details = cand(1, False).unionByName(cand(2, True)).unionByName(cand(3, True)), detail(1, m() < 6).unionByName(detail(2, m() < 3)).unionByName(detail(3, m() < 0))
-    found = linkage.expand_and_verify(items, cands, details)
+    found = linkage.expand_and_verify(items, cands, details, on=["search"])
     return found.groupBy(F.col("item_id").alias("k")).agg(F.array_join(F.array_sort(F.collect_list(F.substring_index("url", "-", 1))), ",").alias("urls"))
 
 
