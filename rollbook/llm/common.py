@@ -47,13 +47,13 @@ def passing(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
     """df written as a table in the shared folder and read again: computed once, with no lineage to lose.
 
-    The table lives as long as the application.
+    The table lives as long as the application. by: columns whose values are folders of their own.
     """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     passing(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -86,3 +86,16 @@ select doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, la
   len(w) < 50 or 100 * coalesce(n_repeat_words, 0) > 50 * len(w) as base_failed
 from docs left join dup using (doc_id) left join covered using (doc_id)
 """
+
+#: op13: every document's score for every item, the ten best of each.
+LEXICAL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS terms FROM documents),
+counted AS (SELECT count(*) AS n, sum(len(terms))::BIGINT AS total FROM d WHERE len(terms) > 0),
+damped AS (SELECT row, doc_id, terms, 25 + (75 * len(terms) * n) // total AS m FROM d, counted WHERE len(terms) > 0),
+tf AS (SELECT row, doc_id, m, term, count(*) AS tf FROM (SELECT row, doc_id, m, unnest(terms) AS term FROM damped) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * n + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), counted),
+items AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+scores AS (SELECT item_id, row, doc_id, sum(qtf * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM items JOIN weights USING (term) JOIN tf USING (term) GROUP BY ALL),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, row)::INTEGER AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""

@@ -1,4 +1,4 @@
-"""The ten operators as queries over whole tables, with the SQL of those that SQL can express."""
+"""The operators as queries over whole tables, with the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollbook.llm import decontamination, language_id, lm_scoring, oracles, packing, quality_classifier, quality_rules, secrets, simhash, token_files, toxicity
+from rollbook.llm import decontamination, language_id, lexical, lm_scoring, oracles, packing, quality_classifier, quality_rules, secrets, simhash, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical.build_index(table(spark, sf_dir, "documents"))
+    return lexical.search(index, table(spark, sf_dir, "benchmark")).select("item_id", "rank", "doc_id", "score")
+
+
 def lm_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can say of op2: its counts and the unigram's score."""
     return op2_lm_score(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
@@ -82,15 +87,15 @@ def rule_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """The ten operators, and the columns of three of them that SQL can check.
+    """The operators, and the columns of three of them that SQL can check.
 
     All read whole tables. Null texts count as empty, null keys are carried along, repeated rows are answered as often as
     they occur (op6: once), empty tables give empty results; ties and very long texts are the operators' affair, whose
     docstrings say what they do.
     """
-    made = (op1_language, op2_lm_score, op3_quality, op4_secrets, op5_quality_rules, op6_decontamination, op7_packing, op8_simhash, op9_toxicity, op10_token_files, lm_base_columns, secret_base_columns, rule_base_columns)
+    made = (op1_language, op2_lm_score, op3_quality, op4_secrets, op5_quality_rules, op6_decontamination, op7_packing, op8_simhash, op9_toxicity, op10_token_files, op13_lexical_search, lm_base_columns, secret_base_columns, rule_base_columns)
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": oracles.DECONTAMINATION, "lm_base_columns": oracles.LM_BASE, "secret_base_columns": oracles.SECRET_BASE, "rule_base_columns": oracles.RULE_BASE}
+    return {"op6_decontamination": oracles.DECONTAMINATION, "op13_lexical_search": oracles.LEXICAL, "lm_base_columns": oracles.LM_BASE, "secret_base_columns": oracles.SECRET_BASE, "rule_base_columns": oracles.RULE_BASE}
