@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +28,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollbook.llm.common import raw_texts, stored, trim
+from rollbook.llm.common import raw_texts, slices, stored, trim
 
 #: Lower-cases A-Z and turns every ASCII byte outside terms into a space.
 FOLDED = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 0x80 else 32 for b in range(256))
-#: A shard ends at so many documents or bytes of text.
-SHARD_DOCS, SHARD_BYTES = 8192, 16 << 20
+#: A shard ends at so many documents or bytes of text, give or take a slice of texts that are cut into terms together.
+SHARD_DOCS, SHARD_BYTES, SLICE = 8192, 16 << 20, 1 << 20
 #: A posting is in the first tier of which its term occurs in no more than this share of the shard's documents (or in FEW), or
 #: its impact is no less. All others are in one more tier.
 TIERS = ((0.05, 650_000), (0.2, 550_000))
@@ -78,20 +79,22 @@ def corpus_totals(docs: DataFrame, text: str) -> tuple[int, int]:
     return got[0] or 0, got[1] or 0
 
 
-def shard_rows(words: list[list[bytes]], n: int, total: int) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, pa.Array]:
-    """Of one shard's documents: tier, term, number of postings, largest impact and postings of each row, by tier and term."""
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    coded = pa.array([w for x in words for w in x], pa.binary()).dictionary_encode()
+def shard_rows(words: pa.ChunkedArray, lengths: np.ndarray, n: int, total: int) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, pa.Array]:
+    """Of one shard's documents: tier, term, number of postings, largest impact and postings of each row, by tier and term.
+
+    words: the terms of all of them, one after the other; lengths: how many each has.
+    """
+    coded, docs = words.dictionary_encode().combine_chunks(), len(lengths)
     in_order = pc.sort_indices(coded.dictionary)
     place = np.empty(len(in_order), np.int64)
     place[in_order.to_numpy()] = np.arange(len(in_order))
-    pair, tf = np.unique(place[coded.indices.to_numpy()] * len(words) + np.repeat(np.arange(len(words)), lengths), return_counts=True)
-    term, doc = pair // len(words), pair % len(words)
+    pair, tf = np.unique(place[coded.indices.to_numpy()] * docs + np.repeat(np.arange(docs), lengths), return_counts=True)
+    term, doc = pair // docs, pair % docs
     impact = 1_000_000_000 * tf // (1000 * tf + 8 * damping(lengths, n, total)[doc])
     df = np.bincount(term, minlength=len(in_order))[term]
     tier = np.full(len(term), LAST)
     for t, (share, least) in reversed(list(enumerate(TIERS))):
-        tier[(df <= max(FEW, share * len(words))) | (impact >= least)] = t
+        tier[(df <= max(FEW, share * docs)) | (impact >= least)] = t
     order = np.argsort(tier, kind="stable")
     tier, term, doc, impact = tier[order], term[order], doc[order], impact[order]
     first = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (tier[1:] != tier[:-1]))))
@@ -109,31 +112,31 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Ind
     schema = T.StructType([T.StructField("tier", T.IntegerType()), T.StructField("shard", T.LongType()), T.StructField("term", T.StringType()), T.StructField("n", T.LongType()), T.StructField("top", T.LongType()), T.StructField("postings", T.BinaryType()), T.StructField("keys", T.ArrayType(kind))])
     names = schema.names
 
-    def batch_of(keys: list[pa.Array], words: list[list[bytes]], shard: int) -> Iterator[pa.RecordBatch]:
+    def batch_of(shard: int, keys: list[pa.Array], words: list[pa.Array], lengths: list[int]) -> Iterator[pa.RecordBatch]:
+        if not any(lengths):
+            return
         own = pa.concat_arrays(keys)
         listed = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([shard], pa.int64()), pa.nulls(1, pa.string()), pa.array([len(own)], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), listed], names=names)
-        tier, terms, counts, top, postings = shard_rows(words, n, total)
+        tier, terms, counts, top, postings = shard_rows(pa.chunked_array(words, pa.binary()), np.array(lengths, np.int64), n, total)
         rows = len(tier)
         yield pa.RecordBatch.from_arrays([pa.array(tier, pa.int32()), pa.array(np.full(rows, shard)), terms, pa.array(counts, pa.int64()), pa.array(top, pa.int64()), postings, pa.nulls(rows, listed.type)], names=names)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, size, keys, words = TaskContext.get().partitionId() << 32, 0, [], []
+        shard, size = TaskContext.get().partitionId() << 32, 0
+        keys, words, lengths = [], [], []
         for batch in batches:
-            start, texts = 0, raw_texts(batch.column(1))
-            for i, t in enumerate(texts):
-                words.append(terms_of(t))
-                size += len(t)
-                if i + 1 == len(texts) or len(words) >= SHARD_DOCS or size >= SHARD_BYTES:
-                    found = np.fromiter(map(bool, words), bool, len(words))  # a document without terms is never asked for
-                    keys.append(batch.column(0).slice(start, i + 1 - start))
-                    start = i + 1
-                    if len(words) >= SHARD_DOCS or size >= SHARD_BYTES:
-                        if found.any():
-                            yield from batch_of(keys, words, shard)
-                        shard, size, keys, words = shard + 1, 0, [], []
-        if any(words):
-            yield from batch_of(keys, words, shard)
+            texts = raw_texts(batch.column(1))
+            for a, b in slices(texts, SLICE):
+                cut = [terms_of(t) for t in texts[a:b]]
+                words.append(pa.array(chain.from_iterable(cut), pa.binary()))  # compact: a slice's terms are objects, a shard's are not
+                lengths += map(len, cut)
+                keys.append(batch.column(0).slice(a, b - a))
+                size += sum(map(len, texts[a:b]))
+                if len(lengths) >= SHARD_DOCS or size >= SHARD_BYTES:
+                    yield from batch_of(shard, keys, words, lengths)
+                    shard, size, keys, words, lengths = shard + 1, 0, [], [], []
+        yield from batch_of(shard, keys, words, lengths)
         trim()
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(build, schema)
