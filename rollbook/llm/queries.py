@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollbook.llm import alignment, decontamination, language_id, lexical, lm_scoring, oracles, packing, quality_classifier, quality_rules, secrets, simhash, token_files, toxicity
+from rollbook.llm import alignment, decontamination, language_id, lexical, lm_scoring, oracles, packing, quality_classifier, quality_rules, secrets, simhash, token_files, toxicity, vector_graph
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op11_embedding_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_graph.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_corpus(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
 
@@ -97,7 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     they occur (op6: once), empty tables give empty results; ties and very long texts are the operators' affair, whose
     docstrings say what they do.
     """
-    made = (op1_language, op2_lm_score, op3_quality, op4_secrets, op5_quality_rules, op6_decontamination, op7_packing, op8_simhash, op9_toxicity, op10_token_files, op12_alignment, op13_lexical_search, lm_base_columns, secret_base_columns, rule_base_columns)
+    made = (op1_language, op2_lm_score, op3_quality, op4_secrets, op5_quality_rules, op6_decontamination, op7_packing, op8_simhash, op9_toxicity, op10_token_files, op11_embedding_graph, op12_alignment, op13_lexical_search, lm_base_columns, secret_base_columns, rule_base_columns)
     return {f.__name__: f for f in made}
 
 
