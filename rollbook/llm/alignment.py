@@ -129,7 +129,8 @@ def linked(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, doc: np
         times.append((ca[:, None] * cb).ravel())
         docs.append(np.full(len(keys[-1]), doc[g]))
     d, k, t = np.concatenate(docs), np.concatenate(keys), np.concatenate(times)
-    order = np.argsort(d << 40 | k >> 32 << 20 | k & SHORT, kind="stable") if k.max(initial=0) >> 32 <= SHORT and (k & 0xFFFFFFFF).max(initial=0) <= SHORT and d.max(initial=0) < 1 << 23 else np.lexsort((k, d))
+    short = max(d.max(initial=0) >> 3, (k >> 32).max(initial=0), (k & 0xFFFFFFFF).max(initial=0)) <= SHORT
+    order = np.argsort(d << 40 | k >> 32 << 20 | k & SHORT, kind="stable") if short else np.lexsort((k, d))
     d, k, t = d[order], k[order], t[order]
     first = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (d[1:] != d[:-1])))) if len(k) else np.zeros(0, np.int64)
     return d[first], k[first], np.add.reduceat(t, first) if len(first) else t
