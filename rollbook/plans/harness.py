@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from rollbook.functions import predicates as P
 from rollbook.functions import text as X
 from rollbook.operators import admission, extract, keyed, lifecycle, linkage, merge, queues, rules, views, window
+from rollbook.session import materialized
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -66,10 +67,12 @@ def linkage_verbatim(spark, sf):
     """Items linked to the one document that contains them, if the sources agree; ranked by length, then id."""
     items = read(spark, sf, "benchmark").select("item_id", X.tokens("text").alias("own"))
     docs = read(spark, sf, "documents").select("doc_id", "source", "n_chars", X.tokens("text").alias("found"))
-    pairs = linkage.containing_pairs(items, docs, "item_id", "doc_id").join(docs, "doc_id")
+    docs = materialized(docs, "tokens")
+    stems = docs.select("doc_id", "source", "n_chars", F.md5(F.array_join("found", " ")).alias("stem"))
+    pairs = linkage.containing_pairs(items, docs, "item_id", "doc_id").join(stems, "doc_id")
     sides = linkage.Sides(item="item_id", performers=None, duration=None, cand_duration=None, release=None, cand_added=None, cand_views=None, uploader="source", cand_ordinal="doc_id", cand_url="__none")
     ranked = pairs.withColumn("__none", F.lpad(F.col("n_chars").cast("string"), 12, "0"))
-    return linkage.pick(ranked, sides, F.array_join("found", " ")).select("item_id", "doc_id")
+    return linkage.pick(ranked, sides, F.col("stem")).select("item_id", "doc_id")
 
 
 @query(f"""
@@ -79,12 +82,25 @@ best as (select * from (select *, row_number() over (partition by item, stem ord
 sure as (select * from (select *, count(*) over (partition by item) n, min(by_source) over (partition by item) a, max(by_source) over (partition by item) b from best) where n = 1 or a = b)
 select item, cand from (select *, row_number() over (partition by item order by delta, cand) r from sure) where r = 1""")
 def linkage_band(spark, sf):
-    """Documents linked to one within two characters of their length that contains their whole text, if the sources agree."""
-    docs = read(spark, sf, "documents").select("doc_id", "source", "n_chars", X.tokens("text").alias("found"))
-    items = docs.select(F.col("doc_id").alias("item"), F.col("n_chars").alias("own_chars"), F.col("found").alias("own"))
-    pairs = linkage.containing_pairs(items, docs, "item", "doc_id", band=("own_chars", "n_chars", 2)).where("item <> doc_id").join(items.drop("own"), "item").join(docs, "doc_id")
+    """Documents linked to one within two characters of their length that contains their whole text, if the sources agree.
+
+    Texts that are equal and of equal length are one class: containment is looked for between classes, and as of a class
+    only its least document can be picked (or the next, by that one itself), copies are never paired with each other.
+    """
+    docs = materialized(read(spark, sf, "documents").select("doc_id", "source", "n_chars", X.tokens("text").alias("found")).withColumn("stem", F.md5(F.array_join("found", " "))), "tokens")
+    same, one = ["stem", "n_chars"], F.struct("doc_id", "source")
+    first = docs.groupBy(*same).agg(F.min(one).alias("first"))
+    members = docs.drop("found").join(first, same)
+    second = members.where(F.col("doc_id") != F.col("first.doc_id")).groupBy(*same).agg(F.min(one).alias("second"))
+    classes = first.join(second, same, "left")
+    whole = docs.join(first.select(F.col("first.doc_id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("class"), "n_chars", "found")
+    items = whole.select(F.col("class").alias("of"), F.col("n_chars").alias("own_chars"), F.col("found").alias("own"))
+    met = linkage.containing_pairs(items, whole, "of", "class", band=("own_chars", "n_chars", 2)).join(classes.withColumn("class", F.col("first.doc_id")), "class")
+    own = members.select(F.col("doc_id").alias("item"), F.col("n_chars").alias("own_chars"), F.col("first.doc_id").alias("of"))
+    cand = F.when(F.col("first.doc_id") == F.col("item"), F.col("second")).otherwise(F.col("first"))
+    pairs = own.join(met, "of").withColumn("cand", cand).where("cand is not null").select("item", "own_chars", "n_chars", "stem", "cand.doc_id", "cand.source", F.lit("").alias("__none"))
     sides = linkage.Sides(item="item", duration="own_chars", cand_duration="n_chars", release=None, cand_added=None, cand_views=None, uploader="source", cand_ordinal="doc_id", cand_url="__none")
-    return linkage.pick(pairs.withColumn("__none", F.lit("")), sides, F.array_join("found", " ")).select("item", F.col("doc_id").alias("cand"))
+    return linkage.pick(pairs, sides, F.col("stem")).select("item", F.col("doc_id").alias("cand"))
 
 
 @query("select o_orderkey as k, l_linenumber as n, epoch(l_shipdate) - epoch(o_orderdate) as delta from orders join lineitem on o_orderkey = l_orderkey where abs(epoch(l_shipdate) - epoch(o_orderdate)) <= 5000000")
@@ -101,15 +117,26 @@ STOP = "list_filter({0}, lambda x: not list_contains(['a','an','and','at','by','
 
 
 @query(f"""
-with d as (select doc_id, n_chars, list_distinct({STOP.format(WORDS.format('text'))}) l, list_distinct({WORDS.format('text')}) r from documents),
+with d as (select min(doc_id) doc_id, n_chars, list_distinct({STOP.format(WORDS.format('text'))}) l, list_distinct({WORDS.format('text')}) r from documents group by text, n_chars),
 p as (select a.doc_id a_id, b.doc_id b_id, a.l l, len(list_intersect(a.l, b.r)) n from d a join d b on b.n_chars between a.n_chars - 60 and a.n_chars + 60 and a.doc_id <> b.doc_id and len(a.l) >= 4)
 select a_id, b_id, round(n / len(l), 9) as score from p where n >= 4 and n / len(l) >= 0.8 - 1e-9""")
 def title_score(spark, sf):
-    """All pairs of documents of like length of which one has at least eight tenths of the other's words."""
-    made = linkage.scored_pairs(read(spark, sf, "documents"), "doc_id", "text", "n_chars")
+    """All pairs of texts of like length of which one has at least eight tenths of the other's words.
+
+    Of equal texts the least document stands for all, which title_copies names: pairs of copies are implied by it.
+    """
+    docs = read(spark, sf, "documents").select("doc_id", "text", "n_chars")
+    first = linkage.copies(docs, "doc_id", ["text", "n_chars"]).where("doc_id = class_id").select("doc_id").distinct()
+    made = linkage.scored_pairs(docs.join(first, "doc_id", "left_semi"), "doc_id", "text", "n_chars")
     return made.select(F.col("a").alias("a_id"), F.col("b").alias("b_id"), F.round("score", 9).alias("score"))
 
 
+@query("select doc_id, min(doc_id) over (partition by text, n_chars) as class_id from documents")
+def title_copies(spark, sf):
+    """The class of copies of each document, by the least document of its text."""
+    return linkage.copies(read(spark, sf, "documents"), "doc_id", ["text", "n_chars"])
+
+
 @query("select o_orderkey, o_custkey, strftime(o_orderdate, '%Y-%m-%d') as day from orders where o_orderdate between timestamp '2001-08-01' - interval 90 day and timestamp '2001-08-01'")
 def rolling_window(spark, sf):
     return window.rolling_window(read(spark, sf, "orders"), "o_orderdate", NOW).select("o_orderkey", "o_custkey", day_of())

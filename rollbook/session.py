@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.mapKeyDedupPolicy": "LAST_WIN"}
 
@@ -41,3 +41,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     files.mkdirs(path)
     files.deleteOnExit(path)
     return path.toString()
+
+
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: what several later steps read is computed once, and outlives executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
