@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column
@@ -21,6 +22,11 @@ def text_of(value: Column | str) -> Column:
     return F.coalesce((F.col(value) if isinstance(value, str) else value).cast("string"), F.lit(""))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use of a value that is worked out once, however often use looks at it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 @cache
 def folding() -> tuple[str, str, dict[str, str]]:
     """By rule, from compatibility forms without marks: characters that stand for one ASCII letter or digit, these, and a
@@ -198,8 +204,7 @@ def attributes(tag: Column | str) -> Column:
     pattern = r"([:A-Za-z0-9_-]+)\s*=\s*([\"'])((?s:.*?))\2"
     keys, values = (F.regexp_extract_all(text, F.lit(pattern), F.lit(k)) for k in (1, 3))
     pairs = F.arrays_zip(F.transform(keys, F.lower).alias("k"), F.transform(values, clean_text).alias("v"))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
-    return F.map_from_arrays(F.transform(last, lambda p: p["k"]), F.transform(last, lambda p: p["v"]))
+    return bound(pairs, lambda every: F.map_from_entries(F.filter(every, lambda p, i: ~F.exists(F.slice(every, i + 2, F.size(every)), lambda q: q["k"] == p["k"]))))
 
 
 def parse_duration(value: Column | str, worded: bool = True) -> Column:

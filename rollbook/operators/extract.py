@@ -40,7 +40,7 @@ def meta_value(tags: Column, keys: str) -> Column:
     """Content of the first meta tag whose property, name or itemprop holds one of keys and that has any."""
     some = lambda m, *ks: F.coalesce(*(F.nullif(F.try_element_at(m, F.lit(k)), F.lit("")) for k in ks), F.lit(""))
     fit = F.filter(tags, lambda m: F.lower(some(m, "property", "name", "itemprop")).rlike(f"(?:{keys})") & (some(m, "content", "value") != ""))
-    return F.get(F.transform(fit, lambda m: some(m, "content", "value")), F.lit(0))
+    return F.get(F.transform(F.slice(fit, 1, 1), lambda m: some(m, "content", "value")), F.lit(0))
 
 
 def people(value) -> list[str]:
@@ -104,12 +104,15 @@ def extract_metadata(pages: DataFrame, html: str = "html", url: str = "url", rec
             if getattr(r, f):
                 by_recipe[f] = F.when(host == r.host, F.nullif(F.regexp_extract(page, getattr(r, f), 1), F.lit(""))).otherwise(by_recipe[f])
     full = lambda a: F.when(F.size(a) > 0, a)
-    out = pages.withColumn("__ld", linked_data(F.regexp_extract_all(page, F.lit(LINKED_DATA), F.lit(1)))).withColumn("__meta", tags)
+    told = X.bound(tags, lambda every: F.struct(*(meta_value(every, keys).alias(f) for f, keys in META_KEYS.items())))  # once for all fields
+    out = pages.withColumn("__ld", linked_data(F.regexp_extract_all(page, F.lit(LINKED_DATA), F.lit(1)))).withColumn("__meta", told)
+    seconds = lambda text: X.bound(text, lambda t: X.bound(X.parse_duration(t), lambda d: F.when(d != 0, d)))
+    listed = lambda text: X.bound(X.names(text), full)
     return out.withColumns(
         {
-            "duration_sec": F.coalesce(F.nullif(X.parse_duration("__ld.duration"), F.lit(0)), F.nullif(X.parse_duration(meta_value(F.col("__meta"), META_KEYS["duration"])), F.lit(0)), F.nullif(X.parse_duration(by_recipe["duration"]), F.lit(0))),
-            "release_date": F.left(F.coalesce(F.nullif(F.col("__ld.date"), F.lit("")), meta_value(F.col("__meta"), META_KEYS["date"])), F.lit(10)),
-            "performers": F.coalesce(full(F.col("__ld.performers")), full(X.names(meta_value(F.col("__meta"), META_KEYS["performers"]))), full(X.names(by_recipe["performers"]))),
+            "duration_sec": F.coalesce(seconds(F.col("__ld.duration")), seconds(F.col("__meta.duration")), seconds(by_recipe["duration"])),
+            "release_date": F.left(F.coalesce(F.nullif(F.col("__ld.date"), F.lit("")), F.col("__meta.date")), F.lit(10)),
+            "performers": F.coalesce(full(F.col("__ld.performers")), listed(F.col("__meta.performers")), listed(by_recipe["performers"])),
         }
     ).drop("__ld", "__meta")
 
