@@ -60,12 +60,15 @@ def fold(value: Column | str) -> Column:
 
     Plain ASCII takes the first branch; the table of characters that stand for several is only read for texts that hold one.
     """
-    text = text_of(value)
     wide, plain, several = folding()
     table = F.from_json(F.lit(json.dumps(several)), "map<string,string>")
-    spelled = F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
-    spelled = F.when(text.rlike(character_class(list(several))), spelled).otherwise(text)
-    return F.when(text.rlike(r"^\p{ASCII}*$"), F.lower(text)).otherwise(F.lower(F.regexp_replace(F.translate(spelled, wide, plain), r"[\x{0300}-\x{036F}]", "")))
+
+    def folded(text: Column) -> Column:
+        spelled = F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+        spelled = F.when(text.rlike(character_class(list(several))), spelled).otherwise(text)
+        return F.when(text.rlike(r"^\p{ASCII}*$"), F.lower(text)).otherwise(F.lower(F.regexp_replace(F.translate(spelled, wide, plain), r"[\x{0300}-\x{036F}]", "")))
+
+    return folded(text_of(value)) if isinstance(value, str) else bound(text_of(value), folded)
 
 
 def tokens(value: Column | str) -> Column:
@@ -91,14 +94,17 @@ def title_words(value: Column | str, marker: str = "featuring", stop: list[str]
     """Words before the marker without stop words; of the whole title if fewer than four are left."""
     text = text_of(value)
     core = without(words(F.get(F.split(text, rf"(?i)(?<![A-Za-z0-9_]){marker}(?![A-Za-z0-9_])", 2), F.lit(0))), stop)
-    return F.when(F.size(core) >= 4, core).otherwise(without(words(text), stop))
+    return bound(core, lambda c: F.when(F.size(c) >= 4, c).otherwise(without(words(text), stop)))
 
 
 def title_score(left: Column | str, right: Column | str, least: int = 4) -> Column:
     """Share of the left title's distinct words that the right one has; 0 unless at least least are shared."""
-    reference = F.array_distinct(title_words(left))
-    shared = F.size(F.array_intersect(reference, words(right)))
-    return F.when((F.size(reference) >= least) & (shared >= least), shared / F.size(reference)).otherwise(0.0)
+
+    def share(reference: Column) -> Column:
+        shared = F.when(F.size(reference) >= least, F.size(F.array_intersect(reference, words(right)))).otherwise(0)
+        return bound(shared, lambda n: F.when(n >= least, n / F.size(reference)).otherwise(0.0))
+
+    return bound(F.array_distinct(title_words(left)), share)
 
 
 def performer_name(value: Column | str, suffix: str = "ls") -> Column:

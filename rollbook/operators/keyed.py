@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rollbook.functions.text import bound
+
 
 def fan_in(parts: list[DataFrame]) -> DataFrame:
     """All rows of all parts; a column that a part lacks is null there."""
@@ -67,8 +69,8 @@ def union_links(links: Column, legacy: Column, dead: Column) -> Column:
     none = F.array().cast("array<string>")
     gone = F.coalesce(F.transform(dead, lambda d: d["url"]), none)
     every = F.filter(F.when(links.isNull(), legacy).when(legacy.isNull(), links).otherwise(F.concat(links, legacy)), lambda x: ~F.array_contains(gone, x["url"]))
-    first = F.filter(every, lambda x, i: ~F.exists(F.slice(every, F.lit(1), i), lambda y: (y["source"] == x["source"]) & (y["url"] == x["url"])))
-    return F.when(F.size(first) > 0, first)
+    first = bound(every, lambda a: F.filter(a, lambda x, i: ~F.exists(F.slice(a, F.lit(1), i), lambda y: (y["source"] == x["source"]) & (y["url"] == x["url"]))))
+    return bound(first, lambda a: F.when(F.size(a) > 0, a))
 
 
 def preferred_link(links: Column, sources: list[str]) -> Column:

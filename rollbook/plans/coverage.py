@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rollbook.functions import predicates as P
 from rollbook.functions import text as X
-from rollbook.operators import admission, extract, keyed, lifecycle, linkage, merge, queues, rules, translate, views, window
+from rollbook.operators import admission, extract, keyed, lifecycle, linkage, merge, quality, queues, rules, translate, views, window
 from rollbook.plans import jobs
 from rollbook.plans.harness import NOW, day_of, query, read
 from rollbook.schema import DEAD_LINK, ITEM, LINK, STATUS, conformed
@@ -418,6 +418,55 @@ def verified_copies(spark, sf):
     return found.groupBy(F.col("item_id").alias("k")).agg(F.array_join(F.array_sort(F.collect_list(F.substring_index("url", "-", 1))), ",").alias("urls"))
 
 
+# --- measurements
+
+
+def near_date(days: int) -> linkage.Gate:
+    """Added within days of the release."""
+    return lambda s: F.abs(F.datediff(F.to_date(s.cand_added), F.to_date(s.release))) <= days
+
+
+def long_views(s: linkage.Sides) -> Column:
+    return F.col(s.cand_views) >= 40
+
+
+JUDGED = """j as (select i.k, abs(c.dur - i.dur) off, abs(date_diff('day', i.rel, c.added)) <= 3 near, views >= 40 seen, c.k = i.k good from i join c on i.c = c.c and not c.bad and abs(c.dur - i.dur) <= 30)"""
+
+
+@query(f"""
+with {ITEMS}, {CANDIDATES}, {JUDGED},
+f as (select 'any at 2' as rule, * from j where off <= 2 union all select 'dated at 2', * from j where off <= 2 and near union all select 'dated at 30', * from j where near union all select 'dated or seen at 2', * from j where off <= 2 and (near or seen) union all select 'none', * from j where false),
+n as (select rule, count(*) a, count(*) filter (where good) t, count(distinct case when good then k end) l from f group by rule), r as (select unnest(['any at 2', 'dated at 2', 'dated at 30', 'dated or seen at 2', 'none']) as rule)
+select rule, coalesce(a, 0) as accepts, coalesce(t, 0) as true_accepts, coalesce(a - t, 0) as false_accepts, coalesce(cast(floor(100 * t / a + 0.5) as integer), -1) as precision, coalesce(l, 0) as items_linked, (select count(*) from i) as items from r left join n using (rule)""")
+def rule_report(spark, sf):
+    """Accepts, precision and reach of match rules on pairs whose truth is known: a candidate is true if it is the item's own order."""
+    items, cands = items_and_candidates(spark, sf)
+    truth = cands.select(F.col("ordinal").alias("item_id"), "url")
+    rules_ = [quality.MatchRule("any at 2", 2, (linkage.open_identity,)), quality.MatchRule("dated at 2", 2, (near_date(3),)), quality.MatchRule("dated at 30", 30, (near_date(3),)), quality.MatchRule("dated or seen at 2", 2, (near_date(3), long_views)), quality.MatchRule("none", 2, (lambda s: F.lit(False),))]
+    return quality.rule_report(items, cands, truth, rules_, on=["search"]).na.fill(-1, ["precision"])
+
+
+@query(f"""
+with {ITEMS}, {CANDIDATES}, {JUDGED}, d as (select * from j where off <= 5)
+select 'dated' as test, count(*) filter (where near) as fires, count(*) filter (where near and good) as true_fires, count(*) filter (where near and good and not seen) as only_true, count(*) filter (where near and not good and not seen) as only_false from (select coalesce(near, false) near, seen, good from d)
+union all select 'seen', count(*) filter (where seen), count(*) filter (where seen and good), count(*) filter (where seen and good and not near), count(*) filter (where seen and not good and not near) from (select coalesce(near, false) near, seen, good from d)""")
+def disjunct_report(spark, sf):
+    """What each test of a disjunction brings that no other does."""
+    items, cands = items_and_candidates(spark, sf)
+    return quality.disjunct_report(items, cands, cands.select(F.col("ordinal").alias("item_id"), "url"), {"dated": near_date(3), "seen": long_views}, 5, on=["search"])
+
+
+@query("""
+select coalesce('l' || (k % 4), 'all') as label, count(*) as items, count(*) filter (where m < 7) as with_duration, count(*) filter (where m in (0, 1)) as by_primary, count(*) filter (where m in (1, 2)) as by_secondary, count(*) filter (where m < 3) as linked,
+ cast(floor(100 * count(*) filter (where m < 3) / count(*) + 0.5) as integer) as percent from (select o_orderkey k, o_orderkey % 10 m from orders) group by rollup ('l' || (k % 4))""")
+def link_coverage(spark, sf):
+    """How many items of each label, and of all, have a live link of each source, of any, and a duration."""
+    one, two = link("primary", put("a", k())), link("secondary", put("b", k()))
+    links = F.when(m() == 0, F.array(one)).when(m() == 1, F.array(one, two)).when(m() == 2, F.array(two))
+    items = conformed(orders(spark, sf).select(put("l", k() % 4).alias("label_id"), links.alias("links"), F.when(m() < 7, 60).when(m() == 7, 0).alias("duration_sec")))
+    return quality.coverage(items, ["primary", "secondary"]).withColumnRenamed("label_id", "label").withColumn("label", F.coalesce("label", F.lit("all")))
+
+
 # --- unions, orders, carry-over
 
 
@@ -656,3 +705,27 @@ def streamed_strikes(spark, sf):
     out = incremental.drained(incremental.strike_counter(events(spark, sf).withColumn("status", status), "user_id", "status", "ts"), scratch(spark, "strikes"), "update")
     last = out.groupBy("key").agg(F.max_by(F.struct("strikes", "deaths", "outcomes"), F.struct("outcomes", "__batch")).alias("x"))
     return last.select("key", "x.*").where("outcomes > 0")
+
+
+@query("""
+with e as (select user_id, ts, ts - lag(ts) over (partition by user_id order by ts) as gap from events), s as (select user_id, ts, sum(case when gap is null or gap > interval 6 hours then 1 else 0 end) over (partition by user_id order by ts) as session from e)
+select user_id, epoch_us(min(ts)) as start_us, count(*) as n from s group by user_id, session""")
+def streamed_sessions(spark, sf):
+    """Sessions of users with six hours of silence between them, from a stream that has run to its end."""
+    out = incremental.drained(incremental.sessions(events(spark, sf), "ts", "user_id", "6 hours"), scratch(spark, "sessions"), "complete")
+    return out.select("user_id", F.unix_micros("start").alias("start_us"), "n")
+
+
+@query("""
+with recursive e as (select cast(user_id as varchar) as key, ts, event_type = 'error' as waits, row_number() over (partition by user_id order by ts, event_type) as r from events where event_type in ('error', 'view')),
+w as (select key, r, case when waits then ts end as since, null::timestamp as over, '' as how, waits as began from e where r = 1
+ union all select e.key, e.r, case when e.waits then case when w.since is null or e.ts >= w.since + interval 7 days then e.ts else w.since end end,
+  case when w.since is not null and (e.ts >= w.since + interval 7 days or not e.waits) then w.since end, case when w.since is null then '' when e.ts >= w.since + interval 7 days then 'expired' when not e.waits then 'resolved' else '' end,
+  e.waits and (w.since is null or e.ts >= w.since + interval 7 days) from w join e on e.key = w.key and e.r = w.r + 1),
+ends as (select key, since from (select *, row_number() over (partition by key order by r desc) z from w) where z = 1 and since + interval 7 days < (select max(ts) - interval 1 hour from events where event_type in ('error', 'view')))
+select key, 'waiting' as state, epoch_us(since) as since_us from w where began union all select key, how, epoch_us(over) from w where how <> '' union all select key, 'expired', epoch_us(since) from ends""")
+def streamed_waits(spark, sf):
+    """Waits of seven days at most: an error begins one, a view resolves it; those that last end at the stream's own time."""
+    rows = events(spark, sf).where("event_type in ('error', 'view')").withColumn("state", F.when(F.col("event_type") == "error", "pending").otherwise("clear"))
+    out = incremental.drained(incremental.pending_queue(rows, "user_id", "state", "ts"), scratch(spark, "waits"))
+    return out.select("key", "state", F.unix_micros("since").alias("since_us"))

@@ -82,7 +82,8 @@ def strike_counter(stream: DataFrame, key: str, status: str, time: str, limit: i
 def pending_queue(stream: DataFrame, key: str, state: str, time: str, days: int = 7, late: str = "1 hour") -> DataFrame:
     """Keys that begin to wait (state "pending"), those that any other state resolves, and those that expire after days of the stream's own time.
 
-    since is when the wait began. A key that has expired and is pending again begins anew.
+    since is when the wait began. A key that has expired and is pending again begins anew. A wait that has lasted days when
+    its key's next row comes has expired, whether or not the watermark said so before: batches of any size give the same.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
@@ -93,6 +94,9 @@ def pending_queue(stream: DataFrame, key: str, state: str, time: str, days: int
         else:
             rows = pd.concat(list(frames), ignore_index=True).sort_values("time", kind="stable")
             for now, at in zip(rows["state"], rows["time"], strict=True):
+                if since is not None and at.to_pydatetime() >= since + pd.Timedelta(days=days):
+                    out.append(("expired", since))
+                    since = None
                 if now == "pending" and since is None:
                     since = at.to_pydatetime()
                     out.append(("waiting", since))

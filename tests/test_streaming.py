@@ -54,6 +54,19 @@ def test_pending_queue(spark, tmp_path):
     assert ("b", "expired", t0) in [(r.key, r.state, r.since) for r in again().collect()]
 
 
+def test_a_wait_ends_by_its_own_time_in_whatever_batches_its_rows_come(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("a", "pending", t0), ("a", "pending", t0 + dt.timedelta(days=6)), ("a", "pending", t0 + dt.timedelta(days=7)), ("a", "clear", t0 + dt.timedelta(days=9)), ("b", "pending", t0), ("b", "clear", t0 + dt.timedelta(days=8))]
+    df = spark.createDataFrame(rows, "k string, s string, t timestamp")
+    want = [("a", "expired", 0), ("a", "resolved", 7), ("a", "waiting", 0), ("a", "waiting", 7), ("b", "expired", 0), ("b", "waiting", 0)]
+    df.coalesce(1).write.parquet(str(tmp_path / "one"))
+    for n in range(10):
+        df.where(F.col("t") == t0 + dt.timedelta(days=n)).coalesce(1).write.mode("append").parquet(str(tmp_path / "many"))
+    for source, files in (("one", 1), ("many", 1)):
+        out = I.drained(I.pending_queue(I.landed(spark, str(tmp_path / source), df.schema, files), "k", "s", "t"), str(tmp_path / f"q-{source}"))
+        assert sorted((r.key, r.state, (r.since - t0).days) for r in out.collect()) == want, source
+
+
 def test_sessions_and_refresh_on_arrival(spark, tmp_path):
     t0 = dt.datetime(2024, 1, 1)
     df = spark.createDataFrame([(1, t0), (1, t0 + dt.timedelta(minutes=10)), (1, t0 + dt.timedelta(hours=3)), (2, t0)], "k int, t timestamp")
