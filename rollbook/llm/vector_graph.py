@@ -46,7 +46,7 @@ class Graph:
     centroids: int = 32_768  # most of them; with more rows than these shards hold, shards have parts
     sample_rows: int = 131_072
     sample_bytes: int = 64 << 20
-    degree: int = 24  # edges that a node keeps by pruning in one shard, and as many that others have to it
+    degree: int = 20  # edges that a node keeps by pruning in one shard, and as many that others have to it
     pool: int = 32  # nearest candidates of a node; beyond them two of each band of ranks, and a band is half as wide again as the last
     alpha: float = 1.2
     medoids: int = 8
@@ -55,17 +55,21 @@ class Graph:
     audited: int = 1024  # classes compared by brute force
     floor: float = 0.95
     tries: int = 3
+    size: int = 8  # bytes of a component, told by the column
 
 
 def class_rows(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(key, class, raw): raw holds a vector's doubles, class its 128-bit hash; both null if it cannot be linked."""
+    """(key, class, raw): raw holds a vector's numbers, as floats where the column has floats, class their 128-bit hash; both
+    are null if it cannot be linked."""
     schema = T.StructType([T.StructField("key", df.schema[key].dataType), T.StructField("class", T.BinaryType()), T.StructField("raw", T.BinaryType())])
 
+    kind = pa.float32() if width(df, vector) == 4 else pa.float64()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column, out = batch.column(1), []
             values = column.values
-            flat = values.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False) + 0.0  # no negative zeros
+            flat = values.cast(kind).fill_null(np.nan).to_numpy(zero_copy_only=False) + kind.to_pandas_dtype()(0)  # no negative zeros
             offsets, there = column.offsets.to_numpy(), column.is_valid().to_numpy(zero_copy_only=False)
             for a, b, ok in zip(offsets[:-1].tolist(), offsets[1:].tolist(), there.tolist(), strict=True):
                 x = flat[a:b]
@@ -76,9 +80,15 @@ def class_rows(df: DataFrame, key: str, vector: str) -> DataFrame:
     return df.select(F.col(key).alias("key"), F.col(vector).alias("vector")).mapInArrow(run, schema)
 
 
-def matrix(raw: pa.ChunkedArray | pa.Array | list[bytes]) -> np.ndarray:
+def width(df: DataFrame, vector: str) -> int:
+    """Bytes of a component: 4 for floats, 8 for any other numbers."""
+    return 4 if isinstance(df.schema[vector].dataType.elementType, T.FloatType) else 8
+
+
+def matrix(raw: pa.ChunkedArray | pa.Array | list[bytes], size: int) -> np.ndarray:
+    """Vectors, of size bytes a component, as rows of doubles."""
     parts = raw if isinstance(raw, list) else raw.to_pylist()
-    return np.frombuffer(b"".join(parts), "<f8").reshape(len(parts), -1) if parts else np.zeros((0, 1))
+    return np.frombuffer(b"".join(parts), f"<f{size}").reshape(len(parts), -1).astype(np.float64) if parts else np.zeros((0, 1))
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -292,7 +302,8 @@ def forest(i: np.ndarray, k: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass
 class Shards:
-    """members: (shard, id, raw, n, home, other): a row for each class and shard of it. centres and parts deal classes to shards."""
+    """members: (shard, id, raw, n, home, other): a row for each class and shard of it, dealt anew whenever it is read. centres
+    and parts are what deals them."""
 
     members: DataFrame
     centres: np.ndarray
@@ -307,18 +318,19 @@ def shard_number(cell: np.ndarray, ids: np.ndarray, parts: np.ndarray) -> np.nda
 def dealt(classes: DataFrame, g: Graph, total: int, dim: int) -> Shards:
     """Every class at its two nearest centroids."""
     rows = max(1, min(g.sample_rows, g.sample_bytes // (8 * dim)))
+    size = g.size
     count = max(1, min(g.centroids, rows, math.ceil(2 * total / g.shard_rows)))
     share = min(1.0, min(rows, max(4096, 4 * count)) / total)
     sample = classes.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("raw").limit(2 * rows)
-    x = unit(matrix(sample.toArrow()["raw"])).astype(np.float32)
+    x = unit(matrix(sample.toArrow()["raw"], size)).astype(np.float32)
     if not len(x):
-        x = unit(matrix([classes.first()["raw"]])).astype(np.float32)
+        x = unit(matrix([classes.first()["raw"]], size)).astype(np.float32)
     centres = fitted(x, min(count, len(x)))
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                near = nearest(unit(matrix(batch.column(0))).astype(np.float32), centres, 2)
+                near = nearest(unit(matrix(batch.column(0), size)).astype(np.float32), centres, 2)
                 numbers, n = np.unique(near, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(n, pa.int64())], names=["cell", "n"])
         trim()
@@ -330,7 +342,7 @@ def dealt(classes: DataFrame, g: Graph, total: int, dim: int) -> Shards:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            near, ids = nearest(unit(matrix(batch.column("raw"))).astype(np.float32), centres, 2), batch.column("id").to_numpy()
+            near, ids = nearest(unit(matrix(batch.column("raw"), size)).astype(np.float32), centres, 2), batch.column("id").to_numpy()
             own = np.stack([shard_number(c, ids, np.array([parts[x] for x in c.tolist()])) for c in near.T])
             home, other = own[0], own[-1]
             for shard in own:
@@ -338,7 +350,7 @@ def dealt(classes: DataFrame, g: Graph, total: int, dim: int) -> Shards:
         trim()
 
     shape = "shard long, id long, raw binary, n long, home long, other long"
-    return Shards(stored(classes.select("id", "raw", "n").mapInArrow(members, shape), "members"), centres, parts)
+    return Shards(classes.select("id", "raw", "n").mapInArrow(members, shape), centres, parts)
 
 
 def united(shards: Shards, g: Graph) -> DataFrame:
@@ -347,29 +359,33 @@ def united(shards: Shards, g: Graph) -> DataFrame:
     def run(rows: pa.Table) -> pa.Table:
         ids = rows["id"].to_numpy()
         order = np.argsort(ids, kind="stable")  # the same graph whatever the rows' order
-        a, b = build(unit(matrix(rows["raw"]))[order].astype(np.float32), g, int(rows["shard"][0].as_py() & 0xFFFFFFFF))
-        return pa.table({"id": ids[order][a], "to": ids[order][b]})
+        a, b = build(unit(matrix(rows["raw"], g.size))[order].astype(np.float32), g, int(rows["shard"][0].as_py() & 0xFFFFFFFF))
+        ids = ids[order]
+        begins = np.searchsorted(a, np.arange(len(ids) + 1))
+        return pa.table({"id": ids, "edges": pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(ids[b]))})
 
-    edges = shards.members.select("shard", "id", "raw").groupBy("shard").applyInArrow(run, "id long, to long")
-    lists = edges.groupBy("id").agg(F.collect_set("to").alias("edges"))  # no more than 4 x degree
-    return stored(shards.members.join(lists, "id", "left"), "graph")
+    lists = shards.members.select("shard", "id", "raw").groupBy("shard").applyInArrow(run, "id long, edges array<long>")
+    union = lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("edges"))).alias("edges"))  # of two shards
+    return stored(shards.members.join(union, "id"), "graph")
 
 
-def first_visits(classes: DataFrame, shards: Shards, probes: int) -> DataFrame:
-    """(shard, id, raw, entry): every class at the shards of its nearest centroids, at all parts of them."""
-    centres, parts = shards.centres, shards.parts
+def first_visits(classes: DataFrame, shards: Shards, g: Graph) -> DataFrame:
+    """(shard, id, raw, entry): every class at the shards of its nearest centroids, at all parts of them. raw is null where the
+    class is a member, as its vector is there."""
+    centres, parts, size, probes = shards.centres, shards.parts, g.size, g.probes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            near = nearest(unit(matrix(batch.column("raw"))).astype(np.float32), centres, probes)
-            for cell in near.T:
-                size = np.array([parts.get(c, 0) for c in cell.tolist()])
-                at = np.repeat(np.arange(len(cell)), size)
-                part = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
-                take = pa.array(at)
-                yield pa.RecordBatch.from_arrays([pa.array((cell[at] << 24) + part), batch.column("id").take(take), batch.column("raw").take(take), pa.nulls(len(at), pa.int64())], names=["shard", "id", "raw", "entry"])
+            near, ids = nearest(unit(matrix(batch.column("raw"), size)).astype(np.float32), centres, probes), batch.column("id").to_numpy()
+            for nth, cell in enumerate(near.T):
+                split = np.array([parts.get(c, 0) for c in cell.tolist()])
+                at = np.repeat(np.arange(len(cell)), split)
+                shard = (cell[at] << 24) + np.arange(len(at)) - np.repeat(np.cumsum(split) - split, split)
+                there = (shard == shard_number(cell[at], ids[at], split[at])) & (nth < 2)
+                raw = batch.column("raw").take(pa.array(at, mask=there))
+                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(ids[at]), raw, pa.nulls(len(at), pa.int64())], names=["shard", "id", "raw", "entry"])
         trim()
 
     return classes.select("id", "raw").mapInArrow(run, "shard long, id long, raw binary, entry long")
@@ -397,11 +413,14 @@ def visited(graph: DataFrame, visits: DataFrame, g: Graph) -> DataFrame:
             flat, offsets = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum([len(x) for x in lists])))
             place = np.searchsorted(ids, flat)
             here = (place < len(ids)) & (ids[np.minimum(place, len(ids) - 1)] == flat)
-            raw = matrix(rows["raw"])[order]
+            raw = matrix(rows["raw"], g.size)[order]
             n, home, other = (rows[c].to_numpy()[order] for c in ("n", "home", "other"))
             searcher = Searcher(raw, [place[a:b][here[a:b]] for a, b in zip(offsets, offsets[1:], strict=False)], g)
             shard = rows["shard"][0].as_py()
-            q_ids, q_raw, q_entry = asked["id"].to_numpy(), matrix(asked["raw"]), asked["entry"].fill_null(-1).to_numpy()
+            q_ids, q_entry = asked["id"].to_numpy(), asked["entry"].fill_null(-1).to_numpy()
+            given = asked["raw"].is_valid().to_numpy()
+            q_raw = raw[np.minimum(np.searchsorted(ids, q_ids), len(ids) - 1)]
+            q_raw[given] = matrix(asked["raw"].drop_null(), g.size).reshape(-1, raw.shape[1])
             pairs = []
             for a in range(0, len(q_ids), SIDE):
                 q = q_ids[a : a + SIDE]
@@ -434,7 +453,7 @@ def visited(graph: DataFrame, visits: DataFrame, g: Graph) -> DataFrame:
 
 def searched(classes: DataFrame, shards: Shards, graph: DataFrame, g: Graph) -> tuple[DataFrame, DataFrame]:
     """(id, n): linked vectors of each class, but for its own copies; (a, b): links that span the components."""
-    visits = stored(first_visits(classes, shards, g.probes), "visits")
+    visits = stored(first_visits(classes, shards, g), "visits")
     went, found = visits.select("shard", "id"), []
     while True:
         got = stored(visited(graph, visits, g), "found")
@@ -457,14 +476,14 @@ def audit(classes: DataFrame, counts: DataFrame, g: Graph, total: int) -> float:
     sample = classes.where(F.pmod(F.xxhash64("id", F.lit(12)), F.lit(1 << 30)) <= int(share * (1 << 30))).select("id", "raw").limit(2 * g.audited).toArrow()
     if not sample.num_rows:
         return 1.0
-    x, ids = unit(matrix(sample["raw"])), sample["id"].to_numpy()
+    x, ids = unit(matrix(sample["raw"], g.size)), sample["id"].to_numpy()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(len(x), np.int64)
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
                 part = batch.slice(a, 1024)
-                near = (x @ unit(matrix(part.column(1))).T >= g.threshold) & (ids[:, None] != part.column(0).to_numpy()[None])
+                near = (x @ unit(matrix(part.column(1), g.size)).T >= g.threshold) & (ids[:, None] != part.column(0).to_numpy()[None])
                 sums += near @ part.column(2).to_numpy()
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sums)], names=["id", "true"])
         trim()
@@ -490,15 +509,16 @@ def linked_classes(classes: DataFrame, g: Graph, total: int, dim: int) -> tuple[
 
 def near_duplicate_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", g: Graph | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row."""
-    g = g or Graph()
-    rows = stored(class_rows(df, key, vector), "vectors")
+    g = replace(g or Graph(), size=width(df, vector))
+    rows = class_rows(df, key, vector)
     whole = stored(rows.where("raw is not null").groupBy("class").agg(F.first("raw").alias("raw"), F.min("key").alias("head"), F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()), "classes")
+    rows = stored(rows.select("key", "class"), "vectors")
     counts = links = None
-    for dim, total in sorted((r[0], r[1]) for r in whole.groupBy((F.length("raw") / 8).cast("int")).count().collect()):  # a round for each length of vectors
-        own = whole.where(F.length("raw") == 8 * dim)
+    for dim, total in sorted((r[0], r[1]) for r in whole.groupBy((F.length("raw") / g.size).cast("int")).count().collect()):  # a round for each length of vectors
+        own = whole.where(F.length("raw") == g.size * dim)
         c, l, _ = linked_classes(own, g, total, dim)
         counts, links = (c, l) if counts is None else (counts.unionByName(c), links.unionByName(l))
-    alone = rows.where("raw is null").select(F.col("key").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"))
+    alone = rows.where("class is null").select(F.col("key").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"))
     if counts is None:
         return alone.withColumn("kept", F.lit(True))
     roots = components(links, "a", "b")
@@ -507,6 +527,6 @@ def near_duplicate_vectors(df: DataFrame, key: str = "vec_id", vector: str = "em
     least = placed.groupBy("root").agg(F.min("head").alias("component_id"), F.count("*").alias("__n"))
     found = join_to_one(placed.select("root", "class", F.col("n").alias("copies"), (F.col("others") + F.col("n") - 1).alias("n_links")), least, "root", total)
     one = stored(found.select("class", "n_links", "component_id", F.col("copies").alias("__n")), "linked")
-    linked = join_to_one(rows.where("raw is not null").select(F.col("key").alias("vec_id"), "class"), one, "class", rows.count())
+    linked = join_to_one(rows.where("class is not null").select(F.col("key").alias("vec_id"), "class"), one, "class", rows.count())
     out = linked.select("vec_id", "n_links", "component_id").unionByName(alone)
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
