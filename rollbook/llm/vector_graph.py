@@ -35,6 +35,7 @@ from pyspark.sql import types as T
 
 from rollbook.llm.common import stored, trim
 from rollbook.llm.components import components, join_to_one
+from rollbook.llm.tokens import spread
 
 
 @dataclass(frozen=True)
@@ -176,21 +177,27 @@ def build(x: np.ndarray, g: Graph, seed: int) -> tuple[np.ndarray, np.ndarray]:
     pool = np.empty((n, edges[0] + 2 * (len(edges) - 1)), np.int64)
     for a in range(0, n, 512):
         sims = x[a : a + 512] @ x.T
+        sims += dice.random(sims.shape, np.float32) * np.float32(1e-6)  # among copies each has others for its nearest
         ranked = np.argpartition(-sims, [e - 1 for e in edges], axis=1)
         drawn = [dice.integers(low, high, (len(sims), 2)) for low, high in zip(edges, edges[1:], strict=False)]
         pool[a : a + 512] = np.take_along_axis(ranked, np.concatenate((np.broadcast_to(np.arange(edges[0]), (len(sims), edges[0])), *drawn), axis=1), 1)
     forward = pruned(x, own, in_order(x, own, pool), g)
     a, d = np.nonzero(forward >= 0)
     b = forward[a, d]
-    # Who names a node is a candidate of that node: the first degree of them, beside its own.
+    # Who names a node is a candidate of that node: the first degree of them, beside its own. So that none is left that no list
+    # names, two of a node's five nearest name it in any case.
     order = np.argsort(b, kind="stable")
     nth = np.arange(len(b)) - np.searchsorted(b[order], b[order])
     back = np.full((n, g.degree), -1, np.int64)
     fits = nth < g.degree
     back[b[order][fits], nth[fits]] = a[order][fits]
+    close = in_order(x, own, forward)[:, :5]
+    some = (close >= 0).sum(axis=1)
+    sure = np.concatenate((close[:, 0], close[own, (dice.random(n) * some).astype(int)]))
     both = in_order(x, own, np.concatenate((forward, back), axis=1))[:, : 2 * g.degree]
     a, d = np.nonzero(both >= 0)
-    return a, both[a, d]
+    pairs = np.unique(np.concatenate((a * n + both[a, d], (sure * n + np.tile(own, 2))[sure >= 0])))
+    return pairs // n, pairs % n
 
 
 def entries(x: np.ndarray, count: int) -> np.ndarray:
@@ -208,15 +215,17 @@ class Searcher:
 
     def __init__(self, raw: np.ndarray, lists: list[np.ndarray], g: Graph) -> None:
         self.raw, self.x, self.g = raw, unit(raw).astype(np.float32), g
-        n = len(raw)
-        width = max([1, *map(len, lists)])
-        self.edges = np.full((n + 1, width), n, np.int64)
-        for i, y in enumerate(lists):
-            self.edges[i, : len(y)] = y
+        self.sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        self.begins, self.flat = np.cumsum(self.sizes) - self.sizes, np.concatenate([np.zeros(0, np.int64), *lists])
         self.padded = np.concatenate((self.x, np.zeros((1, self.x.shape[1]), np.float32)))
         self.starts = entries(self.x, g.medoids)
         self.slack = max(1e-4, 2.4e-7 * raw.shape[1])
 
+    def named(self, i: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Query i beside each node on the list of its node k."""
+        sizes = self.sizes[k]
+        return np.repeat(i, sizes), self.flat[spread(self.begins[k], sizes)]
+
     def cosines(self, q: np.ndarray, i: np.ndarray, k: np.ndarray) -> np.ndarray:
         """Of query i and node k, for each pair of them."""
         out = np.empty(len(i), np.float32)
@@ -254,7 +263,7 @@ class Searcher:
                 break
             k = beam[i, at]
             done[i, k] = True
-            i, k = self.meet(q, sims, np.repeat(i, self.edges.shape[1]), self.edges[k].ravel())
+            i, k = self.meet(q, sims, *self.named(i, k))
             if len(i):  # the new ones beside the beam, the best of all are the next beam
                 nth = np.arange(len(i)) - np.searchsorted(i, i)
                 fresh = np.full((len(raw), int(nth.max()) + 1), n)
@@ -267,7 +276,7 @@ class Searcher:
             i, k = np.nonzero((sims[:, :n] >= least) & ~done[:, :n])
         while len(i):
             done[i, k] = True
-            reached = [self.meet(q, sims, np.repeat(i[a : a + 16384], self.edges.shape[1]), self.edges[k[a : a + 16384]].ravel()) for a in range(0, len(i), 16384)]
+            reached = [self.meet(q, sims, *self.named(i[a : a + 16384], k[a : a + 16384])) for a in range(0, len(i), 16384)]
             i, k = (np.concatenate([r[s] for r in reached]) for s in (0, 1))
             near = (sims[i, k] >= least) & ~done[i, k]
             i, k = i[near], k[near]
@@ -311,8 +320,8 @@ class Shards:
 
 
 def shard_number(cell: np.ndarray, ids: np.ndarray, parts: np.ndarray) -> np.ndarray:
-    spread = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-    return (cell << 24) + (spread % parts.astype(np.uint64)).astype(np.int64)
+    mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+    return (cell << 24) + (mixed % parts.astype(np.uint64)).astype(np.int64)
 
 
 def dealt(classes: DataFrame, g: Graph, total: int, dim: int) -> Shards:
