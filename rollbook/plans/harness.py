@@ -93,9 +93,12 @@ def linkage_band(spark, sf):
     members = docs.drop("found").join(first, same)
     second = members.where(F.col("doc_id") != F.col("first.doc_id")).groupBy(*same).agg(F.min(one).alias("second"))
     classes = first.join(second, same, "left")
-    whole = docs.join(first.select(F.col("first.doc_id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("class"), "n_chars", "found")
+    extra = materialized(members.where(F.col("doc_id") != F.col("first.doc_id")).select("doc_id"), "extra")
+    whole = docs.join(extra, "doc_id", "left_anti").select(F.col("doc_id").alias("class"), "n_chars", "found")
     items = whole.select(F.col("class").alias("of"), F.col("n_chars").alias("own_chars"), F.col("found").alias("own"))
-    met = linkage.containing_pairs(items, whole, "of", "class", band=("own_chars", "n_chars", 2)).join(classes.withColumn("class", F.col("first.doc_id")), "class")
+    inside = linkage.containing_pairs(items, whole, "of", "class", band=("own_chars", "n_chars", 2), apart=True)
+    twice = second.join(first, same).where("stem <> md5('')").select(F.col("first.doc_id").alias("of"), F.col("first.doc_id").alias("class"))
+    met = inside.unionByName(twice).join(classes.withColumn("class", F.col("first.doc_id")), "class")
     own = members.select(F.col("doc_id").alias("item"), F.col("n_chars").alias("own_chars"), F.col("first.doc_id").alias("of"))
     cand = F.when(F.col("first.doc_id") == F.col("item"), F.col("second")).otherwise(F.col("first"))
     pairs = own.join(met, "of").withColumn("cand", cand).where("cand is not null").select("item", "own_chars", "n_chars", "stem", "cand.doc_id", "cand.source", F.lit("").alias("__none"))
