@@ -87,14 +87,15 @@ def linkage_band(spark, sf):
     Texts that are equal and of equal length are one class: containment is looked for between classes, and as of a class
     only its least document can be picked (or the next, by that one itself), copies are never paired with each other.
     """
-    docs = materialized(read(spark, sf, "documents").select("doc_id", "source", "n_chars", X.tokens("text").alias("found")).withColumn("stem", F.md5(F.array_join("found", " "))), "tokens")
+    docs = materialized(read(spark, sf, "documents").select("doc_id", "source", "n_chars", X.normalized("text").alias("norm")).withColumn("stem", F.md5("norm")), "tokens")
     same, one = ["stem", "n_chars"], F.struct("doc_id", "source")
     first = docs.groupBy(*same).agg(F.min(one).alias("first"))
-    members = docs.drop("found").join(first, same)
+    members = docs.drop("norm").join(first, same)
     second = members.where(F.col("doc_id") != F.col("first.doc_id")).groupBy(*same).agg(F.min(one).alias("second"))
     classes = first.join(second, same, "left")
     extra = materialized(members.where(F.col("doc_id") != F.col("first.doc_id")).select("doc_id"), "extra")
-    whole = docs.join(extra, "doc_id", "left_anti").select(F.col("doc_id").alias("class"), "n_chars", "found")
+    found = F.when(F.col("norm") != "", F.split("norm", " ")).otherwise(F.array().cast("array<string>"))
+    whole = docs.join(extra, "doc_id", "left_anti").select(F.col("doc_id").alias("class"), "n_chars", found.alias("found"))
     items = whole.select(F.col("class").alias("of"), F.col("n_chars").alias("own_chars"), F.col("found").alias("own"))
     inside = linkage.containing_pairs(items, whole, "of", "class", band=("own_chars", "n_chars", 2), apart=True)
     twice = second.join(first, same).where("stem <> md5('')").select(F.col("first.doc_id").alias("of"), F.col("first.doc_id").alias("class"))
