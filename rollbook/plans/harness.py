@@ -95,9 +95,9 @@ def linkage_band(spark, sf):
     classes = first.join(second, same, "left")
     extra = materialized(members.where(F.col("doc_id") != F.col("first.doc_id")).select("doc_id"), "extra")
     found = F.when(F.col("norm") != "", F.split("norm", " ")).otherwise(F.array().cast("array<string>"))
-    whole = docs.join(extra, "doc_id", "left_anti").select(F.col("doc_id").alias("class"), "n_chars", found.alias("found"))
+    whole = materialized(docs.join(extra, "doc_id", "left_anti").select("doc_id", "n_chars", "norm"), "classes").select(F.col("doc_id").alias("class"), "n_chars", found.alias("found"))
     items = whole.select(F.col("class").alias("of"), F.col("n_chars").alias("own_chars"), F.col("found").alias("own"))
-    inside = linkage.containing_pairs(items, whole, "of", "class", band=("own_chars", "n_chars", 2), apart=True)
+    inside = linkage.containing_band_pairs(items, whole, "of", "class", ("own_chars", "n_chars", 2), apart=True)
     twice = second.join(first, same).where("stem <> md5('')").select(F.col("first.doc_id").alias("of"), F.col("first.doc_id").alias("class"))
     met = inside.unionByName(twice).join(classes.withColumn("class", F.col("first.doc_id")), "class")
     own = members.select(F.col("doc_id").alias("item"), F.col("n_chars").alias("own_chars"), F.col("first.doc_id").alias("of"))
