@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -33,7 +34,7 @@ class Recipe:
 
 def meta_tags(html: Column | str) -> Column:
     """Array of attribute maps of a page's meta tags, in order."""
-    return F.transform(F.regexp_extract_all(text_of(html), F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0)), X.attributes)
+    return F.transform(F.regexp_extract_all(text_of(html), F.lit(r"(?is)<meta(?![A-Za-z0-9_])[^>]*>"), F.lit(0)), X.attributes)
 
 
 def meta_value(tags: Column, keys: str) -> Column:
@@ -172,8 +173,14 @@ def html_links(html: Column | str) -> Column:
     return F.regexp_extract_all(text_of(html), F.lit(r"(?i)<a\b[^>]*?href=[\"']([^\"']*)[\"']"), F.lit(1))
 
 
-def page_title(html: Column | str) -> Column:
-    return X.clean_text(F.regexp_extract(text_of(html), r"(?is)<title[^>]*>(.*?)</title>", 1))
+def page_title(html: Column | str, decoded: Callable[[Column], Column] = X.clean_text) -> Column:
+    """Text of a page's first title; decoded tells which entities are read."""
+    return decoded(F.regexp_extract(text_of(html), r"(?is)<title[^>]*>(.*?)</title>", 1))
+
+
+def page_charset(html: Column | str) -> Column:
+    """What the first meta tag that declares one has behind charset=, quoted or not, also inside a content type; else empty."""
+    return F.lower(F.regexp_extract(text_of(html), r"(?i)<meta[^>]*charset=[\"']?([A-Za-z0-9-]+)", 1))
 
 
 RECORD = "struct<id:string,_id:string,uuid:string,slug:string,title:string,date:string,url:string,image:string,duration:string,performers:array<struct<id:string,name:string,gender:string,extras:struct<gender:string>>>>"

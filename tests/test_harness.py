@@ -30,3 +30,17 @@ def test_query_equals_its_sql(spark, duck, name):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["item_id", "doc_id"]
+
+
+def equals_sql(spark, folder, name, table, data, schema):
+    """The query's rows and its SQL's over a table of a few odd rows."""
+    spark.createDataFrame(data, schema).coalesce(1).write.parquet(str(folder / f"{table}.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view {table} as select * from '{folder}/{table}.parquet/*.parquet'")
+    got, want = harness.queries()[name](spark, str(folder)), con.sql(harness.oracle_sql()[name])
+    assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
+
+
+def test_odd_pages(spark, tmp_path):
+    heads = ["<title>a = &quot;b&quot; &amp; c &AMP; d&#39;s </title>", "<title>é</title><META\nhttp-equiv=x content='text/html; CHARSET=ISO-8859-1'>", "<meta name=a><meta charset=utf-8>", "<metaé x><metaX><title\n>&amp;amp; x", "", None]
+    equals_sql(spark, tmp_path, "html_meta", "pages", [(k, "https://x.example", h) for k, h in enumerate(heads)], "page_id long, url string, html string")
