@@ -24,6 +24,8 @@ CLASS_OF = np.array([k for k, members in enumerate(CLASSES) for _ in members])
 EVIDENCE = 30
 #: Longest string that is scored side by side with others; each longer one is walked alone.
 SIDE_BY_SIDE = 256
+#: Longest beginning that strings may share as a state of its own when states are counted.
+LONGEST_PREFIX = 128
 
 
 @dataclass(frozen=True)
@@ -75,6 +77,35 @@ class States:
             self.through[at] += 1
             self.ends[at] += 1
 
+    @classmethod
+    def counted(cls, counts: dict[tuple[bytes | int, int], int], far: int) -> tuple[States, dict[bytes | int, int]]:
+        """States from counts of a character (-1: the end) in a state, and the states' numbers by their keys, as count_states has them."""
+        out = cls([])
+        keys = [b"", *sorted({k for k, _ in counts} - {b""}, key=lambda k: (len(k), 0, k) if isinstance(k, bytes) else (k, 1, b""))]
+        number = {k: i for i, k in enumerate(keys)}
+        out.kids, out.taken = [{} for _ in keys], [Counter() for _ in keys]
+        out.through, out.ends, out.became = [0] * len(keys), [0] * len(keys), list(range(len(keys)))
+        for (k, c), n in sorted(counts.items(), key=lambda x: (number[x[0][0]], x[0][1])):
+            a = number[k]
+            out.through[a] += n
+            if c < 0:
+                out.ends[a] += n
+                continue
+            out.taken[a][c] += n
+            longer = k + bytes([c]) if isinstance(k, bytes) else None
+            out.kids[a][c] = number[longer if longer in number else min(far, 1 + (len(k) if isinstance(k, bytes) else k))]
+        return out, number
+
+    def rests(self, samples: list[bytes]) -> dict[int, Counter]:
+        """By state, how often so many characters of the samples follow it."""
+        rest: dict[int, Counter] = {}
+        for s in samples:
+            a = self.find(0)
+            for left, c in zip(range(len(s), -1, -1), [*s, None], strict=True):
+                rest.setdefault(a, Counter())[left] += 1
+                a = self.next(a, c) if c is not None else a
+        return rest
+
     def find(self, a: int) -> int:
         while self.became[a] != a:
             self.became[a] = self.became[self.became[a]]
@@ -127,12 +158,13 @@ class States:
 
     def merge_levels(self, bound: float) -> list[int]:
         """Merges states of the same distance from the start; the states that are left."""
-        level, out = [0], []
+        level, out, done = [0], [], set()
         while level:
             out += level
+            done.update(level)
             groups: list[int] = []
             for k in sorted({k for a in level for k in self.followers(a)}, key=lambda k: (-self.through[k], k)):
-                if k != self.find(k):
+                if k != self.find(k) or k in done:
                     continue
                 for g in groups:
                     if self.compatible(g, k, bound):
@@ -143,14 +175,8 @@ class States:
             level = list(dict.fromkeys(self.find(g) for g in groups))
         return out
 
-    def merge_runs(self, bound: float, samples: list[bytes]) -> list[int]:
+    def merge_runs(self, bound: float, rest: dict[int, Counter]) -> list[int]:
         """Merges states of different distances that EVIDENCE samples passed, red against blue; the states that are left."""
-        rest: dict[int, Counter] = {}
-        for s in samples:
-            a = self.find(0)
-            for left, c in zip(range(len(s), -1, -1), [*s, None], strict=True):
-                rest.setdefault(a, Counter())[left] += 1
-                a = self.next(a, c) if c is not None else a
 
         def same_rest(a: int, b: int) -> bool:
             """Whether the numbers of characters that follow are compatible: far cheaper to see than all states that follow."""
@@ -175,22 +201,56 @@ class States:
         return red
 
 
+def count_states(values: list[bytes], frequent: set[bytes], far: int) -> tuple[Counter, Counter]:
+    """Of values over ALPHABET: counts of (state key, character or -1) and of (state key, characters that follow, far at most).
+
+    The key of a beginning is itself if it is frequent, else its length, but no more than far: rare states are one at each
+    distance, and all beyond far are one.
+    """
+    taken, rest = Counter(), Counter()
+    for v in values:
+        known = True
+        for d, c in enumerate([*v, -1]):
+            known = known and d <= LONGEST_PREFIX and (not d or v[:d] in frequent)
+            k = v[:d] if known else min(d, far)
+            taken[k, c] += 1
+            rest[k, min(len(v) - d, far)] += 1
+    return taken, rest
+
+
 def infer(samples: list[bytes], alpha: float = 0.05) -> Automaton:
-    """The automaton of a list of strings over ALPHABET (other characters end a string's use): merged states, then smoothed.
+    """The automaton of a list of strings over ALPHABET (other characters end a string's use): merged states, then smoothed."""
+    samples = [s for s in samples if s and all(c in ALPHABET for c in s)]
+    states, bound = States(samples), math.sqrt(0.5 * math.log(2 / alpha))
+    states.merge_levels(bound)
+    return smoothed(states, states.merge_runs(bound, states.rests(samples)), np.bincount(CODE[np.frombuffer(b"".join(samples), np.uint8)], minlength=len(ALPHABET)), len(samples))
+
+
+def infer_counted(taken: Counter, rest: Counter, far: int, alpha: float = 0.05) -> Automaton:
+    """infer from the counts that count_states gives, summed over any number of strings."""
+    states, number = States.counted(taken, far)
+    bound = math.sqrt(0.5 * math.log(2 / alpha))
+    states.merge_levels(bound)
+    rests: dict[int, Counter] = {}
+    for (k, left), n in rest.items():
+        rests.setdefault(states.find(number[k]), Counter())[left] += n
+    seen = np.zeros(len(ALPHABET) + 1)
+    np.add.at(seen, CODE[[c for _, c in taken if c >= 0]], [n for (_, c), n in taken.items() if c >= 0])
+    return smoothed(states, states.merge_runs(bound, rests), seen, sum(n for (_, c), n in taken.items() if c < 0))
+
+
+def smoothed(states: States, left: list[int], seen: np.ndarray, ends: int) -> Automaton:
+    """The automaton of the states that are left.
 
     A state that has seen D different continuations n times leaves D / (n + D) to the ones it has not seen, dealt by the
     characters of all samples, and a little to the rest of their classes and of ALPHABET. A character never seen in a
     state leads where most of its samples went on.
     """
-    samples = [s for s in samples if s and all(c in ALPHABET for c in s)]
-    states, bound = States(samples), math.sqrt(0.5 * math.log(2 / alpha))
-    states.merge_levels(bound)
-    left = states.merge_runs(bound, samples)
     number = {a: k for k, a in enumerate(left)}
     size = len(ALPHABET)
-    seen = np.bincount(CODE[np.frombuffer(b"".join(samples), np.uint8)], minlength=size)[:size].astype(float)
+    seen = seen[:size].astype(float)
     by_class = np.bincount(CLASS_OF, seen)[CLASS_OF] / np.bincount(CLASS_OF)[CLASS_OF]
-    total, ends = max(1.0, seen.sum()), float(len(samples))
+    total, ends = max(1.0, seen.sum()), float(ends)
     usual = (0.97 * seen + 0.025 * by_class + 0.005 * total / size) / (total + ends)
     usual_end = max(ends, 0.5) / (total + ends) if total + ends else 0.5
     logp, after, final = np.zeros((len(left), size)), np.zeros((len(left), size), np.int64), np.zeros(len(left))
@@ -224,13 +284,24 @@ class Chain:
         return sums[starts + sizes] - sums[starts]
 
 
+def class_pairs(values: list[bytes]) -> np.ndarray:
+    """How often a class follows a class (or the start) in strings over ALPHABET, [class + 1, class]."""
+    k = len(CLASSES)
+    codes, starts, sizes = joined(values)
+    after = CLASS_OF[codes]
+    before = np.concatenate(([0], 1 + after[:-1])) if len(after) else after
+    before[starts[sizes > 0]] = 0
+    return np.bincount(before * k + after, minlength=(k + 1) * k).reshape(k + 1, k)
+
+
 def chain(values: list[bytes]) -> Chain:
     """The chain of a list of strings over ALPHABET, with add-one counts."""
-    k = len(CLASSES)
-    pairs = np.ones((k + 1, k))
-    for v in values:
-        classes = CLASS_OF[CODE[np.frombuffer(v, np.uint8)]]
-        np.add.at(pairs, (np.concatenate(([0], 1 + classes[:-1])), classes), 1)
+    return chain_counted(class_pairs(values))
+
+
+def chain_counted(pairs: np.ndarray) -> Chain:
+    """The chain of class_pairs, summed over any number of strings."""
+    pairs = 1.0 + pairs
     logs = np.log(pairs / pairs.sum(axis=1, keepdims=True)) - np.log(np.bincount(CLASS_OF))
     return Chain(logs[:, CLASS_OF])
 

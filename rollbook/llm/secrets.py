@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollbook.llm.automata import ALPHABET, CODE, Automaton, Chain, chain, infer, joined
-from rollbook.llm.common import map_texts, raw_texts, sampled, slices, stored, trim
+from rollbook.llm.automata import ALPHABET, CLASSES, CODE, EVIDENCE, LONGEST_PREFIX, Automaton, Chain, chain, chain_counted, class_pairs, count_states, infer, infer_counted, joined
+from rollbook.llm.common import map_texts, raw_texts, slices, stored, trim
 
 # The patterns of the contract, over lower-cased bytes for assign, and least lengths.
 ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([a-z0-9+/_.=-]+)")
@@ -31,8 +33,8 @@ HEX_MASK = bytes(0x68 if b in b"0123456789abcdef" else 0x20 for b in range(256))
 
 #: A candidate is a run of so many credential characters, as few as a credential of the patterns may have.
 MIN_CANDIDATE = 8
-#: Labelled credentials and ordinary runs of more characters are not learned from; candidates of any length are scored.
-LONGEST_SAMPLE = 128
+#: Scores are counted in so many steps a nat for the thresholds.
+SCORE_STEPS = 100
 #: Least score of a candidate that is added, in nats: a run that is e**9 times likelier as a credential than as ordinary.
 LEAST_SCORE = 9.0
 
@@ -169,12 +171,14 @@ def code_points(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int
     return [(int(starts[a]), int(starts[b])) for a, b in spans]
 
 
-def learn_formats(docs: DataFrame, sample_values: int = 400, sample_docs: int = 40_000, published: int = 100, text: str = "text", key: str = "doc_id") -> Formats:
-    """Automata from at most sample_values labelled credentials of each kind in about sample_docs documents.
+def learn_formats(docs: DataFrame, published: int = 100, text: str = "text") -> Formats:
+    """Automata, background and thresholds from the distinct credentials and ordinary runs of all documents.
 
-    The labels are the pattern matches, and published examples of each published format (0: none); runs of credential
-    characters that no pattern matches give the background. All three numbers are parameters, and with LONGEST_SAMPLE they
-    bound what comes to the driver. Null texts and keys and repeated rows are taken as they are: equal values count once.
+    The labels are the pattern matches, of any length, and published examples of each published format (0: none); runs of
+    credential characters that no pattern matches are the ordinary ones. States, transitions, the background chain and the
+    distributions of scores are counted on the executors: beginnings that EVIDENCE credentials share are states, rarer ones
+    are one state at each distance. Counts by state come to the driver, never credentials or runs. Null texts and repeated
+    rows are taken as they are: equal values count once.
     """
     schema = T.StructType([T.StructField("kind", T.StringType()), T.StructField("value", T.BinaryType())])
 
@@ -184,24 +188,78 @@ def learn_formats(docs: DataFrame, sample_values: int = 400, sample_docs: int =
             for a, b in slices(texts):
                 seen: set[tuple[str, bytes]] = set()  # ordinary words come again and again
                 for raw, got in zip(texts[a:b], scan(texts[a:b], NO_FORMATS), strict=True):
-                    seen.update((k, v) for k, x in got.base.items() for _, _, v in x if len(v) <= LONGEST_SAMPLE)
-                    seen.update(("ordinary", raw[x:y]) for x, y, _ in got.candidates if y - x <= LONGEST_SAMPLE)
+                    seen.update((k, v) for k, x in got.base.items() for _, _, v in x)
+                    seen.update(("ordinary", raw[x:y]) for x, y, _ in got.candidates)
                 rows = list(seen)
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["kind", "value"])
         trim()
 
-    picked = sampled(docs.select(key, text), key, sample_docs, 4)
-    found = stored(picked.select(text).mapInArrow(run, schema).distinct(), "credentials")
-    order = F.xxhash64("value")
+    found = stored(docs.select(text).mapInArrow(run, schema).distinct().withColumn("held", F.pmod(F.xxhash64("value"), F.lit(5)) == 0), "credentials")
+    sizes = found.groupBy("kind", F.length("value").alias("size"), "held").count().collect()
+    kinds = sorted({r.kind for r in sizes} - {"ordinary"})
+    apart = {k for k in kinds if sum(r["count"] for r in sizes if r.kind == k) >= 25 and any(r.held for r in sizes if r.kind == k)}
+    learned = found.where((F.col("kind") != "ordinary") & ~(F.col("held") & F.col("kind").isin(*apart)))
+    begin = F.explode(F.sequence(F.lit(1), F.least(F.length("value"), F.lit(LONGEST_PREFIX))))
+    begins = learned.select("kind", "value", begin.alias("d")).groupBy("kind", F.expr("substring(value, 1, d)").alias("begin")).count().where(F.col("count") >= EVIDENCE).collect()
+    frequent = {k: {bytes(r.begin) for r in begins if r.kind == k} for k in kinds}
+    far = {}
+    for k in kinds:  # as many characters as EVIDENCE credentials have
+        lengths = sorted(((r["size"], r["count"]) for r in sizes if r.kind == k), reverse=True)
+        reached = np.cumsum([n for _, n in lengths])
+        far[k] = max(LONGEST_PREFIX, lengths[at][0] if (at := int(np.searchsorted(reached, EVIDENCE))) < len(lengths) else 0)
+
+    def states(values, kind):
+        taken, rest = count_states(values, frequent[kind], far[kind])
+        return [(kind, x, k if isinstance(k, bytes) else None, -1 if isinstance(k, bytes) else k, c, n) for x, counts in (("taken", taken), ("rest", rest)) for (k, c), n in counts.items()]
+
+    def pairs(values, kind):
+        return [(kind, "pairs", None, i, j, int(n)) for (i, j), n in np.ndenumerate(class_pairs(values)) if n]
+
+    counted = tallied(learned, states) + tallied(found.where(F.col("kind") == "ordinary"), pairs)
+    every = np.zeros((len(CLASSES) + 1, len(CLASSES)), np.int64)
+    taken, rest = ({k: Counter() for k in kinds} for _ in range(2))
+    for r in counted:
+        if r.what == "pairs":
+            every[r.at, r.x] = r.n
+        else:
+            (taken if r.what == "taken" else rest)[r.kind][bytes(r.begin) if r.begin is not None else r.at, r.x] = r.n
+    background = chain_counted(every)
+    examples = {name: learn_kind(x, [], background) for name, x in published_examples(published).items() if x}
+    automata = {k: infer_counted(taken[k], rest[k], far[k]) for k in kinds} | {name: a for name, (a, _) in examples.items()}
+
+    def scored(values, kind):
+        parts = joined(values)
+        base, out = background.scores(*parts), []
+        for name in automata if kind == "ordinary" else [kind]:
+            bins, n = np.unique(np.floor(SCORE_STEPS * np.clip(automata[name].scores(*parts) - base, -1000, 1000)).astype(int), return_counts=True)
+            out += [(name, kind, None, 0, int(b), int(c)) for b, c in zip(bins, n, strict=True)]
+        return out
+
+    tested = found.where((F.col("kind") == "ordinary") | F.col("held") | ~F.col("kind").isin(*apart))
+    scores = tallied(tested, scored)
+
+    def quantile(name: str, kind: str, share: float) -> float:
+        rows = sorted((r.x, r.n) for r in scores if r.kind == name and r.what == kind)
+        below = np.cumsum([n for _, n in rows])
+        return rows[int(np.searchsorted(below, share * below[-1]))][0] / SCORE_STEPS if rows else 0.0
+
+    least = {k: 0.9 * quantile(k, k, 0.02) for k in kinds} | {name: t for name, (_, t) in examples.items()}
+    return Formats(automata, {name: max(LEAST_SCORE, quantile(name, "ordinary", 0.99) + 1 / SCORE_STEPS, t) for name, t in least.items()}, background)
+
+
+def tallied(values: DataFrame, count: Callable[[list[bytes], str], list[tuple]]) -> list:
+    """Rows kind, what, begin, at, x, n: what count tells of each batch's values of a kind, summed over all."""
+    schema = T.StructType([T.StructField("kind", T.StringType()), T.StructField("what", T.StringType()), T.StructField("begin", T.BinaryType()), *(T.StructField(c, T.IntegerType()) for c in ("at", "x")), T.StructField("n", T.LongType())])
+    types = [pa.string(), pa.string(), pa.binary(), pa.int32(), pa.int32(), pa.int64()]
 
-    def values(kind: str, most: int) -> list[bytes]:
-        return [bytes(r.value) for r in found.where(F.col("kind") == kind).orderBy(order, "value").limit(most).collect()]
+    def run(batches):
+        for batch in batches:
+            of, raw = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            rows = [r for kind in sorted(set(of)) for r in count([v for v, k in zip(raw, of, strict=True) if k == kind], kind)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=schema.names)
 
-    ordinary = values("ordinary", 10 * sample_values)
-    background = chain(ordinary)
-    labelled = {kind: values(kind, sample_values) for kind in ("assign", "access", "hex")} | published_examples(published)
-    learned = {name: learn_kind(x, ordinary, background) for name, x in labelled.items() if x}
-    return Formats({n: a for n, (a, _) in learned.items()}, {n: t for n, (_, t) in learned.items()}, background)
+    made = values.select("kind", "value").mapInArrow(run, schema)
+    return made.groupBy("kind", "what", "begin", "at", "x").agg(F.sum("n").alias("n")).collect()
 
 
 def listed(raw: bytes, by_kind: dict[str, list[tuple[int, int]]]) -> str:

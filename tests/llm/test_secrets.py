@@ -170,3 +170,26 @@ def test_edges(spark):
     assert out[0].text == "word " * 50_000 + '<assign>" ' + "z" * 5000 and out[2].text == "<assign>" and out[3].text is None
     empty = df.limit(0)
     assert secrets.redacted_documents(empty, secrets.learn_formats(empty)).count() == 0 and secrets.candidate_scores(empty, formats).count() == 0
+
+
+def test_all_documents_are_learned_from(spark):
+    """Counts come from every credential and run, however many there are: none is left out of the background or the automata."""
+    r = random.Random(8)
+    keys = [draw(r, ALNUM, r.randint(8, 200)) for _ in range(900)]
+    words = sorted({draw(r, ALNUM[26:52], r.randint(8, 14)) for _ in range(6000)})
+    docs = spark.createDataFrame([(i, f'token = "{k.decode()}" ' + " ".join(w.decode() for w in words[i::900])) for i, k in enumerate(keys)], "doc_id long, text string").repartition(5)
+    formats = secrets.learn_formats(docs, published=0)
+    assert np.allclose(formats.background.logp, automata.chain(words).logp)
+    taken, rest = automata.count_states(keys, set(), 128)
+    assert sum(n for (_, c), n in taken.items() if c == -1) == 900 and max(k for k, _ in rest if isinstance(k, int)) == 128
+    again = secrets.learn_formats(docs.repartition(2), published=0)
+    assert np.array_equal(again.automata["assign"].logp, formats.automata["assign"].logp) and again.thresholds == formats.thresholds
+
+
+def test_counted_states_give_the_same_as_listed_ones():
+    r = random.Random(9)
+    for samples in ([draw(r, HEX, 40) for _ in range(200)], [b"key_" + draw(r, ALNUM, 12) for _ in range(200)]):
+        whole = {s[:d] for s in samples for d in range(1, len(s) + 1)}
+        counts = automata.count_states(samples, whole, 128)
+        listed, counted = automata.infer(samples), automata.infer_counted(*counts, 128)
+        assert np.allclose(np.sort(listed.final), np.sort(counted.final)) and np.isclose(listed.scores(*automata.joined(samples)).sum(), counted.scores(*automata.joined(samples)).sum())
